@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillflow.llm import chat_format, warc_store
+from quillflow.llm import chat_format, quality_rules, warc_store
 from quillflow.llm.shared import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,12 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(n_body + 7 + CASE WHEN starts THEN 4 + n_role + 2 + 1 ELSE 0 END)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, model).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
+    )
