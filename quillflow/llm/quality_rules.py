@@ -102,22 +102,27 @@ def repeated_words(hashes: Column) -> Column:
     )
 
 
-def findings(text: Column, model: Model | None) -> Column:
-    """Counts, base_failed, and the score if there is a model, as one struct. Every part that is used inside a loop is bound by
+def findings(text: Column, model: Model, counts: bool = True) -> Column:
+    """Counts, if asked for, base_failed and the score, as one struct. Every part that is used inside a loop is bound by
     let(): an optimizer that moves a filter below a projection would put its expression into the loop otherwise."""
     text = F.coalesce(text, F.lit(""))
     lines = let(F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
     def judged(words: Column, hashes: Column, repeats: Column) -> Column:
         n = F.size(words)
+        verdict = [
+            ((n < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n)).alias("base_failed"),
+            score_of(hashes, model).alias("score"),
+        ]
+        if not counts:
+            return F.struct(*verdict)
         return F.struct(
             n.cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             lines.cast("long").alias("n_dup_lines"),
             repeats.cast("long").alias("n_repeat_words"),
-            ((n < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n)).alias("base_failed"),
-            (score_of(hashes, model) if model else F.lit(0.0)).alias("score"),
+            *verdict,
         )
 
     return let(words_of(text), lambda w: let(hashes_of(w), lambda h: let(repeated_words(h), lambda r: judged(w, h, r))))
@@ -152,10 +157,10 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, alpha: floa
     if not n_trusted:
         return Model(llr, None)
     others = with_labels(docs, labels, "inner", max_broadcast_labels).where(~counted)
-    judged = others.select(F.col("_quality").alias("q"), findings(F.col("text"), Model(llr, None)).alias("f"))
-    scores = judged.where("NOT f.base_failed").select(F.floor(F.col("f.score") * BINS_PER_UNIT).alias("bin"), "q")
+    judged = others.select(F.col("_quality").alias("q"), findings(F.col("text"), Model(llr, None), counts=False).alias("f"))
+    scores = judged.select(F.when(~F.col("f.base_failed"), F.floor(F.col("f.score") * BINS_PER_UNIT)).alias("bin"), "q")
     bins = scores.groupBy("bin").agg(F.count_if(F.col("q") == 1).alias("good"), F.count_if(F.col("q") != 1).alias("bad")).collect()
-    return Model(llr, best_threshold([(r["bin"], r["good"], r["bad"]) for r in bins]))
+    return Model(llr, best_threshold([(r["bin"], r["good"], r["bad"]) for r in bins if r["bin"] is not None]))
 
 
 def best_threshold(bins: list[tuple[int, int, int]]) -> float | None:
@@ -185,4 +190,4 @@ def kept_column(f: Column, model: Model) -> Column:
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that are kept, with their own columns only."""
-    return docs.where(kept_column(findings(docs["text"], model), model))
+    return docs.where(kept_column(findings(docs["text"], model, counts=False), model))
