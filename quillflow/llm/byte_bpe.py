@@ -5,9 +5,11 @@ One narrow pass, without a shuffle:
 1. texts are split by the tokenizer's pattern, block by block, into the block's distinct words and a list of word numbers for each
    text; a partition's rows are each block's words, then its texts;
 2. a Spark expression folds merges over each word's bytes: the adjacent pair of lowest rank is joined until no pair has a rank. The rank
-   map is a literal of the plan, cut into small maps by a hash, because Spark looks through a map from end to end;
+   map is a literal of the plan;
 3. the lists are replaced by the words' ids.
 
+A word that is a token itself needs no merges.
+
 Decoding is a Spark expression as well: the ids' byte pieces, from a literal array, are concatenated.
 
 Words of over fold_bytes bytes are merged by a heap instead of the fold, whose work grows with the square of a word's length; the ids are the same. Null and
@@ -19,7 +21,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
 import zlib
 from collections.abc import Iterator
 
@@ -33,8 +34,8 @@ from quillflow.llm import chunks
 from quillflow.llm.quality_rules import let
 from quillflow.llm.shared import only
 
-FOLD_BYTES, HASH_BITS, NONE = 512, 16, 2**31 - 1
-_STAGE = "is_word boolean, doc_id bigint, word string, ids array<int>, codes binary"
+FOLD_BYTES, HASH_BITS = 512, 17
+_STAGE = "is_word boolean, doc_id bigint, word string, merged string, codes binary"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,49 +44,60 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 # --- the fold -----------------------------------------------------------------------------------------------------------
+#
+# In the fold a token is one character, and characters are in the order of ranks. A word is a string of such characters, at first
+# one for each byte. The literal maps a pair of characters to the character of the joined token: cell crc32(pair) modulo their number
+# holds "pair:joined" for each of its pairs, behind two fillers and LAST, which instr() = 0 leads to.
 
+LAST = chr(0x10FFFF)
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """array<map<hex bytes, rank>> at crc32(hex bytes) modulo its length; Spark folds it to a literal when it plans."""
-    cells: list[dict[str, int]] = [{} for _ in range(1 << HASH_BITS)]
+
+def mark(token: int) -> str:
+    """The character of a token id."""
+    return chr(0x100 + token if token < 0xD700 else 0x10000 + token)
+
+
+def marks_to_ids(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    return np.where(points < 0x10000, points - 0x100, points - 0x10000)
+
+
+def pair_cells(ranks: dict[bytes, int]) -> list[str]:
+    cells = [["  " + LAST] for _ in range(1 << HASH_BITS)]
     for token, rank in ranks.items():
-        key = token.hex()
-        cells[zlib.crc32(key.encode()) & ((1 << HASH_BITS) - 1)][key] = rank
-    return F.from_json(F.lit(json.dumps(cells, separators=(",", ":"))), "array<map<string,int>>")
+        for k in range(1, len(token)):
+            left, right = ranks.get(token[:k]), ranks.get(token[k:])
+            if left is not None and right is not None:
+                pair = mark(left) + mark(right)
+                cells[zlib.crc32(pair.encode()) & ((1 << HASH_BITS) - 1)].append(f"{pair}:{mark(rank)}")
+    return ["".join(c) for c in cells]
+
+
+def rank_literal(ranks: dict[bytes, int]) -> Column:
+    """The cells; Spark folds this to a literal when it plans."""
+    return F.split(F.lit(",".join(pair_cells(ranks))), ",")
 
 
 def fold_merges(word: Column, table: Column) -> Column:
-    """Token ids of one word, which is given as lower-case hex."""
-    mask = (1 << HASH_BITS) - 1
+    """The marks of a word's tokens, from the marks of its bytes."""
 
-    def rank(piece: Column) -> Column:
-        cell = F.get(table, F.crc32(piece.cast("binary")).bitwiseAND(mask).cast("int"))
-        return F.coalesce(F.try_element_at(cell, piece), F.lit(NONE))
+    def joined(pair: Column) -> Column:
+        cell = F.get(table, F.crc32(pair.cast("binary")).bitwiseAND((1 << HASH_BITS) - 1).cast("int"))
+        return let(cell, lambda c: F.substring(c, F.instr(c, F.concat(pair, F.lit(":"))) + 3, F.lit(1)))
 
     def step(state: Column, _: Column) -> Column:
-        parts, ranks = state["parts"], state["ranks"]
-
-        def merged(p: Column) -> Column:  # p: the pair's place, from 1
-            def at(w: Column) -> Column:
-                left = F.when(p > 1, F.concat(F.slice(ranks, 1, p - 2), F.array(rank(F.concat(F.get(parts, p - 2), w)))))
-                right = F.when(p < F.size(ranks), F.concat(F.array(rank(F.concat(w, F.get(parts, p + 1)))), F.slice(ranks, p + 2, F.size(ranks))))
-                nothing = F.array().cast("array<int>")
-                return F.struct(
-                    F.concat(F.slice(parts, 1, p - 1), F.array(w), F.slice(parts, p + 2, F.size(parts))).alias("parts"),
-                    F.concat(F.coalesce(left, nothing), F.coalesce(right, nothing)).alias("ranks"),
-                )
+        s = state["s"]
+        ranks = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: joined(F.substring(s, i, F.lit(2))))
 
-            return let(F.concat(F.get(parts, p - 1), F.get(parts, p)), at)
+        def merged(r: Column, m: Column) -> Column:
+            p = F.array_position(r, m).cast("int")
+            rest = let(p, lambda at: F.concat(F.substring(s, F.lit(1), at - 1), m, F.substring(s, at + 2, F.lit(1 << 20))))
+            return F.struct(F.when(m == LAST, s).otherwise(rest).alias("s"), (m == LAST).alias("done"))
 
-        best = F.array_min(ranks)
-        return let(best, lambda m: F.when(F.coalesce(m, F.lit(NONE)) == NONE, state).otherwise(let(F.array_position(ranks, m).cast("int"), merged)))
+        return F.when(state["done"], state).otherwise(let(ranks, lambda r: let(F.array_min(r), lambda m: merged(r, m))))
 
-    n = (F.length(word) / 2).cast("int")
-    bytes_of = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(word, 2 * i + 1, F.lit(2)))
-    pairs = lambda b: F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(F.concat(F.get(b, i), F.get(b, i + 1))))
-    start = let(bytes_of, lambda b: F.struct(b.alias("parts"), pairs(b).alias("ranks")))
-    folded = F.aggregate(F.sequence(F.lit(2), n), start, step, lambda state: F.transform(state["parts"], rank))
-    return let(rank(word), lambda whole: F.when(whole != NONE, F.array(whole)).otherwise(folded))
+    start = F.struct(word.alias("s"), F.lit(False).alias("done"))
+    return F.when(F.length(word) < 2, word).otherwise(F.aggregate(F.sequence(F.lit(2), F.length(word)), start, step, lambda state: state["s"]))
 
 
 def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -118,11 +130,13 @@ def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _split(ranks: dict[bytes, int], pattern: str, fold_bytes: int):
+    byte_marks = {i: mark(ranks[bytes([i])]) for i in range(256)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         matches = regex.compile(pattern).findall
-        schema = pa.schema([("is_word", pa.bool_()), ("doc_id", pa.int64()), ("word", pa.string()), ("ids", pa.list_(pa.int32())), ("codes", pa.binary())])
+        schema = pa.schema([("is_word", pa.bool_()), ("doc_id", pa.int64()), ("word", pa.string()), ("merged", pa.string()), ("codes", pa.binary())])
         for block in chunks.blocks(batches, "text"):
             pieces = chunks.cut(block.column("text").combine_chunks())
             number: dict[str, int] = {}
@@ -138,8 +152,10 @@ def _split(ranks: dict[bytes, int], pattern: str, fold_bytes: int):
             words = [w.encode() for w in number]
             for k in range(0, len(words), 10_000):
                 part = words[k : k + 10_000]
-                long = [merge_by_heap(w, ranks) if len(w) > fold_bytes else None for w in part]
-                rows = {"is_word": [True] * len(part), "doc_id": [None] * len(part), "word": [w.hex() if x is None else None for w, x in zip(part, long, strict=True)], "ids": long, "codes": [None] * len(part)}
+                done = ["".join(map(mark, merge_by_heap(w, ranks))) if len(w) > fold_bytes else None for w in part]
+                done = [mark(ranks[w]) if w in ranks else x for w, x in zip(part, done, strict=True)]
+                todo = [w.decode("latin-1").translate(byte_marks) if x is None else None for w, x in zip(part, done, strict=True)]
+                rows = {"is_word": [True] * len(part), "doc_id": [None] * len(part), "word": todo, "merged": done, "codes": [None] * len(part)}
                 yield pa.RecordBatch.from_pydict(rows, schema)
             ends = np.cumsum(counts)
             raw, ids = codes.tobytes(), block.column("doc_id").combine_chunks()
@@ -147,7 +163,7 @@ def _split(ranks: dict[bytes, int], pattern: str, fold_bytes: int):
                 own = [raw[4 * (e - c) : 4 * e] for c, e in zip(counts[k : k + 500].tolist(), ends[k : k + 500].tolist(), strict=True)]
                 m = len(own)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([False] * m), _one(ids.slice(k, m)), pa.nulls(m, pa.string()), pa.nulls(m, pa.list_(pa.int32())), pa.array(own, pa.binary())],
+                    [pa.array([False] * m), _one(ids.slice(k, m)), pa.nulls(m, pa.string()), pa.nulls(m, pa.string()), pa.array(own, pa.binary())],
                     schema=schema,
                 )
 
@@ -160,7 +176,7 @@ def _one(x):
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in the order in which _split made them."""
-    words: list[pa.Array] = []
+    words: list[str] = []
     table, open_ = None, False
     for batch in batches:
         flags = batch.column("is_word").to_numpy(zero_copy_only=False)
@@ -172,13 +188,11 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if flags[a]:
                 if not open_:
                     words, open_ = [], True
-                words.append(part.column("ids"))
+                words += part.column("merged").to_pylist()
                 continue
             if open_ or table is None:
-                lists = pa.chunked_array(words, pa.list_(pa.int32())).combine_chunks() if words else pa.array([], pa.list_(pa.int32()))
-                lists = _one(lists)
-                lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-                table, open_ = (lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.cumsum(lengths) - lengths, lengths), False
+                lengths = np.array([len(w) for w in words], np.int64)
+                table, words, open_ = (marks_to_ids("".join(words)).astype(np.int32), np.cumsum(lengths) - lengths, lengths), [], False
             raw = part.column("codes").to_pylist()
             counts = np.array([len(x) // 4 for x in raw], np.int64)
             for k in range(0, len(raw), 500):
@@ -191,8 +205,8 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, fold_bytes: int = FOLD_BYTES) -> DataFrame:
     """(doc_id, ids) of each row of docs (doc_id, text)."""
     staged = only(docs, "doc_id", "text").mapInArrow(_split(ranks, pattern, fold_bytes), _STAGE)
-    folded = F.when(F.col("word").isNotNull(), fold_merges(F.col("word"), rank_literal(ranks))).otherwise(F.col("ids"))
-    return staged.select("is_word", "doc_id", folded.alias("ids"), "codes").mapInArrow(_assemble, "doc_id bigint, ids array<int>")
+    folded = F.when(F.col("word").isNotNull(), fold_merges(F.col("word"), rank_literal(ranks))).otherwise(F.col("merged"))
+    return staged.select("is_word", "doc_id", folded.alias("merged"), "codes").mapInArrow(_assemble, "doc_id bigint, ids array<int>")
 
 
 def _pieces_literal(hex_pieces: list[str]) -> Column:
