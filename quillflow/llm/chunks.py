@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 #: All code points of the Unicode property White_Space, and the separators 0x1C to 0x1F that some libraries add.
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _UNSAFE = rf"( {_WHITE})|({_WHITE} )|(^ )|( $)"
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES, BLOCK_ROWS = 12 << 20, 1 << 16
 
 
 @dataclass
@@ -60,18 +60,20 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
-    """Batches joined until a block holds about limit bytes of the text column, and large batches cut."""
-    held, size = [], 0
+    """Batches joined until a block holds about limit bytes of the text column or BLOCK_ROWS rows, and large batches cut."""
+    held, size, rows = [], 0, 0
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         at = 0
         while at < len(batch):
             n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), max(limit - size, 1), side="right")))
+            n = min(n, BLOCK_ROWS - rows)
             held.append(batch.slice(at, n))
+            rows += n
             size += int(sizes[at : at + n].sum())
             at += n
-            if size >= limit * 0.9:
+            if size >= limit * 0.9 or rows >= BLOCK_ROWS:
                 yield pa.Table.from_batches(held).combine_chunks()
-                held, size = [], 0
+                held, size, rows = [], 0, 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
