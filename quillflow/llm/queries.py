@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillflow.llm import byte_bpe, chat_format, quality_rules, super_minhash, token_files, warc_store
+from quillflow.llm import byte_bpe, chat_format, fm_index, quality_rules, super_minhash, token_files, warc_store
 from quillflow.llm.shared import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,18 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return super_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = fm_index.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    n_hit = fm_index.hit_words(F.col("spans"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
