@@ -48,7 +48,8 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: n
     """values[starts[c] : starts[c] + lengths[c]] for each code, joined; and how many each code gives."""
     n = lengths[codes]
     ends = np.cumsum(n)
-    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[codes] - (ends - n), n)
+    at = np.repeat(starts[codes] - (ends - n), n)
+    at += np.arange(len(at))
     return values[at], n
 
 

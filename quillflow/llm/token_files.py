@@ -27,12 +27,17 @@ from quillflow.llm.shared import only
 
 SCHEMA = "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, ids array<int>"
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 64 << 10
-WORDS_PER_CALL = 10_000
+WORDS_PER_TEXT, TEXTS_PER_CALL, CACHED = 200, 50, 300_000
+BLOCK_BYTES = 6 << 20
+#: Marks that end words, and the letters (ASCII, Latin-1, Latin Extended) after which they are tokens of their own.
+_MARKS, _AFTER_LETTER, _BEFORE_MARKS = ".,;:!?", r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]$", r"(?s)^.*?([.,;:!?]*)$"
+_ENCODERS: dict = {}  # a worker process serves many tasks
 
 
 class PieceEncoder:
     """Ids of distinct pieces, by the tokenizers library. Pieces that follow a space are encoded many to a text: each begins with the
-    only token that starts with a space."""
+    only token that starts with a space. Marks at a word's end are tokens of their own after a letter, so "word" and "word," are
+    one piece to encode. Up to CACHED pieces are remembered from block to block, which changes no result."""
 
     def __init__(self, vocabulary: str):
         import os
@@ -44,28 +49,64 @@ class PieceEncoder:
         self.opens = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.opens[i] = token.startswith("Ġ")
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, pieces: chunks.Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, and where those of each code start and how many they are."""
-        words, got, lengths = pieces.inner.to_pylist(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at in range(0, len(words), WORDS_PER_CALL):
-            part = words[at : at + WORDS_PER_CALL]
-            (ids,) = self.ids([" " + " ".join(part)])
+        self.known = pa.array([], pa.large_string())
+        self.values, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that follow a space, joined; and how many each has."""
+        values, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), TEXTS_PER_CALL * WORDS_PER_TEXT):
+            part = words[at : at + TEXTS_PER_CALL * WORDS_PER_TEXT]
+            got = self.ids([" " + " ".join(part[k : k + WORDS_PER_TEXT]) for k in range(0, len(part), WORDS_PER_TEXT)])
+            ids = np.concatenate([np.array(x, np.int32) for x in got])
             starts = np.flatnonzero(self.opens[ids])
             if "" in part or len(starts) != len(part):  # an empty or odd piece: one by one
                 each = self.ids([" " + w for w in part])
-                ids, n = np.concatenate(each), np.array([len(x) for x in each])
+                ids, n = np.concatenate([np.array(x, np.int32) for x in each]), np.array([len(x) for x in each], np.int64)
             else:
                 n = np.diff(np.append(starts, len(ids)))
-            got.append(ids)
+            values.append(ids)
             lengths.append(n)
-        each = self.ids(pieces.outer.to_pylist())
-        values = np.concatenate([*got, *each])
-        n = np.concatenate([*lengths, np.array([len(x) for x in each], np.int64)])
-        return values, np.cumsum(n) - n, n
+        return np.concatenate(values), np.concatenate(lengths)
+
+    def encode(self, pieces: chunks.Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, and where those of each code start and how many they are."""
+        bare = pc.utf8_rtrim(pieces.inner, _MARKS)
+        split = pc.match_substring_regex(bare, _AFTER_LETTER)
+        cores = pc.if_else(split, bare, pieces.inner).dictionary_encode()
+        tails = pc.if_else(split, pc.replace_substring_regex(pieces.inner, _BEFORE_MARKS, r"\1"), "").dictionary_encode()
+        row = pc.fill_null(pc.index_in(cores.dictionary, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = cores.dictionary.filter(pa.array(row < 0))
+        values, lengths = self.encode_words(new.to_pylist())
+        row[row < 0] = np.arange(len(new)) + len(self.known)
+        all_values, all_lengths = np.concatenate([self.values, values]), np.concatenate([self.lengths, lengths])
+        if (room := min(CACHED - len(self.known), len(new))) > 0:
+            self.known = pa.concat_arrays([self.known, new.slice(0, room)])
+            self.lengths = all_lengths[: len(self.known)]
+            self.values = all_values[: int(self.lengths.sum())]
+        marks = [np.array(x, np.int32) for x in self.ids(tails.dictionary.to_pylist())]
+        heads = [np.array(x, np.int32) for x in self.ids(pieces.outer.to_pylist())]
+        n_marks, n_heads = np.array([len(x) for x in marks], np.int64), np.array([len(x) for x in heads], np.int64)
+        values = np.concatenate([all_values, *marks, *heads])
+        n = np.concatenate([all_lengths, n_marks, n_heads])
+        starts = np.cumsum(n) - n
+        # A word's ids are those of its core and of its marks; then come the pieces that begin a text.
+        core, mark = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (cores, tails))
+        n_words, both = len(core), np.stack([row[core], len(all_lengths) + mark], axis=1).reshape(-1)
+        order = np.concatenate([both, len(all_lengths) + len(marks) + np.arange(len(heads))])
+        flat, each = chunks.ragged(values, starts, n, order)
+        counts = np.concatenate([each[: 2 * n_words].reshape(-1, 2).sum(axis=1), each[2 * n_words :]])
+        return flat, np.cumsum(counts) - counts, counts
+
+
+def shared_encoder(vocabulary: str) -> PieceEncoder:
+    """One for each worker process."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = PieceEncoder(vocabulary)
+    return _ENCODERS[vocabulary]
 
 
 def encode_texts(texts: pa.Array, encoder: PieceEncoder) -> tuple[np.ndarray, np.ndarray]:
@@ -80,8 +121,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, r
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, at, part = PieceEncoder(vocabulary), 0, TaskContext.get().partitionId()
-        for block in chunks.blocks(batches, "text"):
+        encoder = shared_encoder(vocabulary)
+        at, part = 0, TaskContext.get().partitionId()
+        for block in chunks.blocks(batches, "text", BLOCK_BYTES):
             ids, counts = encode_texts(block.column("text").combine_chunks() if block.num_rows else block.column("text"), encoder)
             ends = np.cumsum(counts)
             ids, counts = np.insert(ids, ends, end_id), counts + 1
