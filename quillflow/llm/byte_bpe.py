@@ -2,8 +2,8 @@
 
 One narrow pass, without a shuffle:
 
-1. texts are split by the tokenizer's pattern, block by block, into the block's distinct words and a list of word numbers for each
-   text; a partition's rows are each block's words, then its texts;
+1. texts are split by the tokenizer's pattern, block by block, into distinct words and a list of word numbers for each
+   text; a partition's rows are each block's words that it had not before, then its texts;
 2. a Spark expression folds merges over each word's bytes: the adjacent pair of lowest rank is joined until no pair has a rank. The rank
    map is a literal of the plan;
 3. the lists are replaced by the words' ids.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +36,8 @@ from quillflow.llm.quality_rules import let
 from quillflow.llm.shared import only
 
 FOLD_BYTES, HASH_BITS = 512, 17
+#: Bytes of a block of texts. A partition's words are forgotten after so many of them.
+BLOCK_BYTES, PARTITION_WORDS = 4 << 20, 500_000
 _STAGE = "is_word boolean, doc_id bigint, word string, merged string, codes binary"
 
 
@@ -137,9 +140,13 @@ def _split(ranks: dict[bytes, int], pattern: str, fold_bytes: int):
 
         matches = regex.compile(pattern).findall
         schema = pa.schema([("is_word", pa.bool_()), ("doc_id", pa.int64()), ("word", pa.string()), ("merged", pa.string()), ("codes", pa.binary())])
-        for block in chunks.blocks(batches, "text"):
+        number: dict[str, int] = {}
+        for block in chunks.blocks(batches, "text", BLOCK_BYTES):
             pieces = chunks.cut(block.column("text").combine_chunks())
-            number: dict[str, int] = {}
+            if len(number) > PARTITION_WORDS:
+                number = {}
+                yield pa.RecordBatch.from_pydict({"is_word": [True], "doc_id": [None], "word": [None], "merged": [""], "codes": [None]}, schema)
+            known = len(number)
             flat, lengths = [], []
             for texts, lead in ((pieces.inner, " "), (pieces.outer, "")):
                 for text in texts.to_pylist():
@@ -149,9 +156,9 @@ def _split(ranks: dict[bytes, int], pattern: str, fold_bytes: int):
             values, n = np.array(flat, np.int32), np.array(lengths, np.int64)
             codes, each = chunks.ragged(values, np.cumsum(n) - n, n, pieces.codes)
             counts = chunks.sums(each, pieces.counts)
-            words = [w.encode() for w in number]
-            for k in range(0, len(words), 10_000):
-                part = words[k : k + 10_000]
+            words = [w.encode() for w in itertools.islice(number, known, None)]
+            for k in range(0, len(words), 5_000):
+                part = words[k : k + 5_000]
                 done = ["".join(map(mark, merge_by_heap(w, ranks))) if len(w) > fold_bytes else None for w in part]
                 done = [mark(ranks[w]) if w in ranks else x for w, x in zip(part, done, strict=True)]
                 todo = [w.decode("latin-1").translate(byte_marks) if x is None else None for w, x in zip(part, done, strict=True)]
@@ -176,8 +183,9 @@ def _one(x):
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in the order in which _split made them."""
-    words: list[str] = []
-    table, open_ = None, False
+    values, lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
+    fresh: list[str] = []
+    table = (values, lengths, lengths)
     for batch in batches:
         flags = batch.column("is_word").to_numpy(zero_copy_only=False)
         cuts = [0, *(np.flatnonzero(flags[1:] != flags[:-1]) + 1).tolist(), len(flags)]
@@ -186,13 +194,15 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             part = batch.slice(a, b - a)
             if flags[a]:
-                if not open_:
-                    words, open_ = [], True
-                words += part.column("merged").to_pylist()
+                fresh += part.column("merged").to_pylist()
                 continue
-            if open_ or table is None:
-                lengths = np.array([len(w) for w in words], np.int64)
-                table, words, open_ = (marks_to_ids("".join(words)).astype(np.int32), np.cumsum(lengths) - lengths, lengths), [], False
+            if fresh:
+                if "" in fresh:  # the partition's words begin anew
+                    del fresh[: len(fresh) - fresh[::-1].index("")]
+                    values, lengths = values[:0], lengths[:0]
+                lengths = np.concatenate([lengths, np.array([len(w) for w in fresh], np.int64)])
+                values = np.concatenate([values, marks_to_ids("".join(fresh)).astype(np.int32)])
+                table, fresh = (values, np.cumsum(lengths) - lengths, lengths), []
             raw = part.column("codes").to_pylist()
             counts = np.array([len(x) // 4 for x in raw], np.int64)
             for k in range(0, len(raw), 500):
