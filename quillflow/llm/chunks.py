@@ -54,8 +54,9 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: n
 
 
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums of runs of the given lengths (which may be 0)."""
-    total = np.concatenate([[0], np.cumsum(values)])
+    """Sums of runs of the given lengths (which may be 0), in the values' type."""
+    total = np.zeros(len(values) + 1, values.dtype)
+    np.cumsum(values, out=total[1:])
     ends = np.cumsum(counts)
     return total[ends] - total[ends - counts]
 

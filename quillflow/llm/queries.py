@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillflow.llm import byte_bpe, chat_format, fm_index, page_text, quality_rules, super_minhash, token_files, warc_store
+from quillflow.llm import byte_bpe, chat_format, fm_index, line_templates, page_text, quality_rules, super_minhash, token_files, warc_store
 from quillflow.llm.shared import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,15 @@ def op6_min_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     found = page_text.extract(pages, page_text.fit(pages))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_templates.drop_recurring(docs)
+    return kept.select(
+        "doc_id",
+        "n_dropped",
+        F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_kept"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
