@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillflow.llm import byte_bpe, chat_format, fm_index, line_templates, page_text, quality_rules, super_minhash, token_files, warc_store
+from quillflow.llm import byte_bpe, chat_format, fm_index, line_templates, maxent_lm, page_text, quality_rules, super_minhash, token_files, warc_store
 from quillflow.llm.shared import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,8 @@ def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_kept"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
+
+
+@query
+def op2_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score_documents(table(spark, sf_dir, "documents"))
