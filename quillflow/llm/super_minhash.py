@@ -12,8 +12,8 @@ is empty and links with nothing. Documents are linked if 100 * intersection >= 7
 4. Candidates and verification without all pairs of a bucket. In a round, each bucket that still holds nodes of more than one group names
    a leader, and the nodes of other groups are compared with it, on full sets. Copies of one text so become one group after a number
    of comparisons in proportion to their number. Buckets that hold more than one group after the rounds get all their pairs from
-   different groups compared that share at least two buckets (a pair at 0.75 fails this with a probability of about 3e-7), in blocks
-   of bounded size. So no bucket is cut or dropped.
+   different groups compared, in blocks of bounded size, but for pairs whose signatures agree in so few slots that a pair at the threshold would
+   have to be six standard deviations off. A pair is taken in the first bucket that it shares. So no bucket is cut or dropped.
 5. Groups are found by passing on least labels and jumping over pointers, in tables in shared storage.
 
 Rows with a null doc_id take no part: component_id is null and they are kept. Rows that repeat a doc_id are one node; each row
@@ -109,8 +109,9 @@ def _sketch(bands: int, rows: int):
         for block in chunks.blocks(batches, "text", 6 << 20):
             hashes, counts = shingle_hashes(block.column("text").combine_chunks())
             some = counts > 0
-            keys = band_keys(signatures(hashes, counts, bands * rows), bands, rows)
-            keys = keys[some]
+            sig = signatures(hashes, counts, bands * rows)
+            keys = band_keys(sig, bands, rows)[some]
+            short = sig.astype(np.uint8)  # the low byte of each slot
             lists = pa.ListArray.from_arrays(
                 np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32), pa.array(keys.reshape(-1))
             )
@@ -118,7 +119,7 @@ def _sketch(bands: int, rows: int):
             b = chunks.sums(words.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), counts).view(np.int64)
             ids = block.column("doc_id").combine_chunks()
             ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
-            batch = pa.RecordBatch.from_arrays([ids, pa.array(counts), pa.array(a), pa.array(b), lists], names=["doc_id", "n_shingles", "a", "b", "bands"])
+            batch = pa.RecordBatch.from_arrays([ids, pa.array(counts), pa.array(a), pa.array(b), lists, pa.array([x.tobytes() for x in short], pa.binary())], names=["doc_id", "n_shingles", "a", "b", "bands", "slots"])
             yield from (batch.slice(k, 1000) for k in range(0, len(batch), 1000))
 
     return run
@@ -149,22 +150,29 @@ def _confirm(percent: int):
     return run
 
 
-def _pairs_of_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs from different groups that share two buckets or more, of the two sides of one block."""
-    rows = pa.Table.from_batches(list(batches))
-    side = rows.column("side").to_numpy()
-    ids, comp = rows.column("node").to_numpy(), rows.column("comp").to_numpy()
-    keys = np.array(rows.column("bands").to_pylist(), np.int64)
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side != 1)
-    if (side == 1).any():
-        right = np.flatnonzero(side == 1)
-    out: tuple[list, list] = ([], [])
-    for i in left:
-        shared = (keys[right] == keys[i]).sum(axis=1)
-        hit = right[(shared >= 2) & (comp[right] != comp[i])]
-        out[0].extend([int(ids[i])] * len(hit))
-        out[1].extend(ids[hit].tolist())
-    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["x", "y"])
+def _block_pairs(percent: int):
+    """Pairs from different groups, of the two sides of one block of a bucket, that may be similar enough by their signatures and share no
+    earlier bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, comp, side = (table.column(c).to_numpy() for c in ("node", "comp", "side"))
+        key = table.column("key")[0].as_py()
+        keys = np.array(table.column("bands").to_pylist(), np.int64)
+        slots = np.frombuffer(b"".join(table.column("slots").to_pylist()), np.uint8).reshape(len(ids), -1)
+        m, share = slots.shape[1], percent / 100
+        least = m * share - 6 * (m * share * (1 - share)) ** 0.5
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (1 if (side == 1).any() else 0))
+        out: tuple[list, list] = ([], [])
+        for i in left:
+            hit = right[comp[right] != comp[i]]
+            hit = hit[(slots[hit] == slots[i]).sum(axis=1) >= least]
+            shared = keys[hit] == keys[i]
+            hit = hit[keys[i][shared.argmax(axis=1)] == key]
+            out[0].extend([int(ids[i])] * len(hit))
+            out[1].extend(ids[hit].tolist())
+        return pa.table({"x": pa.array(out[0], pa.int64()), "y": pa.array(out[1], pa.int64())})
+
+    return run
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -204,11 +212,11 @@ def near_duplicates(
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = only(docs, "doc_id", "text")
-    schema = "doc_id bigint, n_shingles bigint, a bigint, b bigint, bands array<bigint>"
+    schema = "doc_id bigint, n_shingles bigint, a bigint, b bigint, bands array<bigint>, slots binary"
     sketches, _ = written(docs.mapInArrow(_sketch(bands, rows), schema), "sketches")
     known = sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
-    nodes = known.groupBy("a", "b", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("m"))
-    nodes, _ = written(nodes.select("a", "b", "n_shingles", F.col("m.doc_id").alias("node"), F.col("m.bands").alias("bands")), "nodes")
+    nodes = known.groupBy("a", "b", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "slots")).alias("m"))
+    nodes, _ = written(nodes.select("a", "b", "n_shingles", F.col("m.doc_id").alias("node"), F.col("m.bands").alias("bands"), F.col("m.slots").alias("slots")), "nodes")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
     members, members_path = written(buckets.join(shared, "key").select("key", "node", "leader"), "members")
@@ -244,7 +252,7 @@ def near_duplicates(
             lead = lead.select("key", F.col("l.node").alias("y"), F.col("l.comp").alias("y_comp"))
             pairs = open_.join(lead, "key").where("comp != y_comp").select(F.col("node").alias("x"), "y")
         else:
-            pairs = all_open_pairs(open_, nodes, block_nodes)
+            pairs = all_open_pairs(open_, nodes, block_nodes, percent)
         if verify(pairs):
             comps = link()
         drop_path(spark, open_path)
@@ -265,7 +273,7 @@ def open_members(members: DataFrame, comps: DataFrame) -> DataFrame:
     return placed.join(mixed.select("key", "n"), "key")
 
 
-def all_open_pairs(open_: DataFrame, nodes: DataFrame, block_nodes: int) -> DataFrame:
+def all_open_pairs(open_: DataFrame, nodes: DataFrame, block_nodes: int, percent: int) -> DataFrame:
     """Pairs of the nodes of a bucket from different groups, found in blocks of at most 2 * block_nodes nodes or so."""
     parts = F.ceil(F.col("n") / block_nodes).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
@@ -279,9 +287,6 @@ def all_open_pairs(open_: DataFrame, nodes: DataFrame, block_nodes: int) -> Data
         F.greatest("own", "other").alias("j"),
         F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
     )
-    full = blocks.join(nodes.select("node", "bands"), "node").select("key", "i", "j", "side", "node", "comp", "bands")
-    return full.groupBy("key", "i", "j").applyInArrow(_block_pairs, "x bigint, y bigint")
-
+    full = blocks.join(nodes.select("node", "bands", "slots"), "node").select("key", "i", "j", "side", "node", "comp", "bands", "slots")
+    return full.groupBy("key", "i", "j").applyInArrow(_block_pairs(percent), "x bigint, y bigint")
 
-def _block_pairs(table: pa.Table) -> pa.Table:
-    return pa.Table.from_batches(list(_pairs_of_block(iter(table.to_batches()))))
