@@ -12,8 +12,9 @@ is empty and links with nothing. Documents are linked if 100 * intersection >= 7
 4. Candidates and verification without all pairs of a bucket. In a round, each bucket that still holds nodes of more than one group names
    a leader, and the nodes of other groups are compared with it, on full sets. Copies of one text so become one group after a number
    of comparisons in proportion to their number. Buckets that hold more than one group after the rounds get all their pairs from
-   different groups compared, in blocks of bounded size, but for pairs whose signatures agree in so few slots that a pair at the threshold would
-   have to be six standard deviations off. A pair is taken in the first bucket that it shares. So no bucket is cut or dropped.
+   different groups compared where they stand, in blocks of bounded size: on 32-bit hashes of the full sets, which can only take a pair for too similar,
+   but for pairs whose signatures agree in so few slots that a pair at the threshold would have to be six standard deviations off. A pair is taken in the
+   first bucket that it shares, and what is left is verified like all others. So no bucket is cut or dropped, and pairs that aren't links are no rows.
 5. Groups are found by passing on least labels and jumping over pointers, in tables in shared storage.
 
 Rows with a null doc_id take no part: component_id is null and they are kept. Rows that repeat a doc_id are one node; each row
@@ -125,6 +126,16 @@ def _sketch(bands: int, rows: int):
     return run
 
 
+def _short_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, set): the set as sorted 32-bit hashes."""
+    for block in chunks.blocks(batches, "text", 6 << 20):
+        hashes, counts = shingle_hashes(block.column("text").combine_chunks())
+        short, ends = (hashes >> np.uint64(32)).astype(np.uint32), np.cumsum(counts)
+        sets = [np.unique(short[e - c : e]).tobytes() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+        batch = pa.RecordBatch.from_arrays([pa.array(block.column("node").to_pylist(), pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
+        yield from (batch.slice(k, 1000) for k in range(0, len(batch), 1000))
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,14 +162,16 @@ def _confirm(percent: int):
 
 
 def _block_pairs(percent: int):
-    """Pairs from different groups, of the two sides of one block of a bucket, that may be similar enough by their signatures and share no
-    earlier bucket."""
+    """Pairs from different groups, of the two sides of one block of a bucket, that share no earlier bucket and are similar enough by their signatures
+    and by 32-bit hashes of their sets."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, comp, side = (table.column(c).to_numpy() for c in ("node", "comp", "side"))
         key = table.column("key")[0].as_py()
         keys = np.array(table.column("bands").to_pylist(), np.int64)
         slots = np.frombuffer(b"".join(table.column("slots").to_pylist()), np.uint8).reshape(len(ids), -1)
+        sets = [np.frombuffer(x, np.uint32) for x in table.column("set").to_pylist()]
+        sizes = np.array([len(x) for x in sets], np.int64)
         m, share = slots.shape[1], percent / 100
         least = m * share - 6 * (m * share * (1 - share)) ** 0.5
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (1 if (side == 1).any() else 0))
@@ -168,6 +181,9 @@ def _block_pairs(percent: int):
             hit = hit[(slots[hit] == slots[i]).sum(axis=1) >= least]
             shared = keys[hit] == keys[i]
             hit = hit[keys[i][shared.argmax(axis=1)] == key]
+            if len(hit):
+                common = chunks.sums(np.isin(np.concatenate([sets[k] for k in hit]), sets[i]).astype(np.int64), sizes[hit])
+                hit = hit[100 * common >= percent * (sizes[i] + sizes[hit] - common)]
             out[0].extend([int(ids[i])] * len(hit))
             out[1].extend(ids[hit].tolist())
         return pa.table({"x": pa.array(out[0], pa.int64()), "y": pa.array(out[1], pa.int64())})
@@ -252,7 +268,7 @@ def near_duplicates(
             lead = lead.select("key", F.col("l.node").alias("y"), F.col("l.comp").alias("y_comp"))
             pairs = open_.join(lead, "key").where("comp != y_comp").select(F.col("node").alias("x"), "y")
         else:
-            pairs = all_open_pairs(open_, nodes, block_nodes, percent)
+            pairs = all_open_pairs(open_, nodes, texts, block_nodes, percent)
         if verify(pairs):
             comps = link()
         drop_path(spark, open_path)
@@ -273,7 +289,7 @@ def open_members(members: DataFrame, comps: DataFrame) -> DataFrame:
     return placed.join(mixed.select("key", "n"), "key")
 
 
-def all_open_pairs(open_: DataFrame, nodes: DataFrame, block_nodes: int, percent: int) -> DataFrame:
+def all_open_pairs(open_: DataFrame, nodes: DataFrame, texts: DataFrame, block_nodes: int, percent: int) -> DataFrame:
     """Pairs of the nodes of a bucket from different groups, found in blocks of at most 2 * block_nodes nodes or so."""
     parts = F.ceil(F.col("n") / block_nodes).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
@@ -287,6 +303,8 @@ def all_open_pairs(open_: DataFrame, nodes: DataFrame, block_nodes: int, percent
         F.greatest("own", "other").alias("j"),
         F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
     )
-    full = blocks.join(nodes.select("node", "bands", "slots"), "node").select("key", "i", "j", "side", "node", "comp", "bands", "slots")
+    sets = texts.join(open_.select("node").distinct(), "node", "left_semi").mapInArrow(_short_sets, "node bigint, set binary")
+    about = nodes.select("node", "bands", "slots").join(sets, "node")
+    full = blocks.join(about, "node").select("key", "i", "j", "side", "node", "comp", "bands", "slots", "set")
     return full.groupBy("key", "i", "j").applyInArrow(_block_pairs(percent), "x bigint, y bigint")
 
