@@ -10,8 +10,8 @@ well. A document's score is the mean over its n-grams of
 
 so that buckets with little evidence say little.
 
-A document is kept if it passes the base rules and its score is not below the threshold. The threshold is the lower
-edge of a 1/1000-wide bin of scores that separates labels 1 and 0 best (sum of the two rates, the lowest bin of
+A document is kept if it passes the base rules and its score is not below the threshold. The threshold is the middle of the gap
+between two filled 1/1000-wide bins of scores that separates labels 1 and 0 best (sum of the two rates, the lowest gap of
 equals), over all labelled documents outside the counted half that pass the base rules. Without trusted documents, or without any label 0, no document is
 rejected by score.
 
@@ -164,15 +164,15 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, alpha: floa
 
 
 def best_threshold(bins: list[tuple[int, int, int]]) -> float | None:
-    """The bin's lower edge from which on keeping gives the largest sum of the two rates of right verdicts."""
+    """Where to begin to keep for the largest sum of the two rates of right verdicts: the middle of the empty stretch below the best bin."""
     n_good, n_bad = sum(b[1] for b in bins), sum(b[2] for b in bins)
     if not n_good or not n_bad:
         return None
-    best, at, bad_below, good_below = 1.0, None, 0, 0
+    best, at, bad_below, good_below, end = 1.0, None, 0, 0, None
     for edge, good, bad in sorted(bins):
         if (rate := (n_good - good_below) / n_good + bad_below / n_bad) > best:
-            best, at = rate, edge / BINS_PER_UNIT
-        good_below, bad_below = good_below + good, bad_below + bad
+            best, at = rate, (end + edge) / 2 / BINS_PER_UNIT
+        good_below, bad_below, end = good_below + good, bad_below + bad, edge + 1
     return at
 
 
