@@ -37,7 +37,7 @@ from quillflow.llm.shared import only
 
 FOLD_BYTES, HASH_BITS = 512, 17
 #: Bytes of a block of texts. A partition's words are forgotten after so many of them.
-BLOCK_BYTES, PARTITION_WORDS = 4 << 20, 500_000
+BLOCK_BYTES, PARTITION_WORDS = 2 << 20, 400_000
 _STAGE = "is_word boolean, doc_id bigint, word string, merged string, codes binary"
 
 
@@ -164,6 +164,8 @@ def _split(ranks: dict[bytes, int], pattern: str, fold_bytes: int):
                 todo = [w.decode("latin-1").translate(byte_marks) if x is None else None for w, x in zip(part, done, strict=True)]
                 rows = {"is_word": [True] * len(part), "doc_id": [None] * len(part), "word": todo, "merged": done, "codes": [None] * len(part)}
                 yield pa.RecordBatch.from_pydict(rows, schema)
+            del pieces, words, flat
+            pa.default_memory_pool().release_unused()
             ends = np.cumsum(counts)
             raw, ids = codes.tobytes(), block.column("doc_id").combine_chunks()
             for k in range(0, block.num_rows, 500):
@@ -184,7 +186,7 @@ def _one(x):
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in the order in which _split made them."""
     values, lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
-    fresh: list[str] = []
+    fresh: list[pa.Array] = []
     table = (values, lengths, lengths)
     for batch in batches:
         flags = batch.column("is_word").to_numpy(zero_copy_only=False)
@@ -194,22 +196,25 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             part = batch.slice(a, b - a)
             if flags[a]:
-                fresh += part.column("merged").to_pylist()
+                fresh.append(part.column("merged"))
                 continue
             if fresh:
-                if "" in fresh:  # the partition's words begin anew
-                    del fresh[: len(fresh) - fresh[::-1].index("")]
+                words = pa.chunked_array(fresh, pa.string())
+                n = pc.utf8_length(words).to_numpy().astype(np.int64)
+                if len(begins := np.flatnonzero(n == 0)):  # the partition's words begin anew
+                    words, n = words.slice(int(begins[-1]) + 1), n[begins[-1] + 1 :]
                     values, lengths = values[:0], lengths[:0]
-                lengths = np.concatenate([lengths, np.array([len(w) for w in fresh], np.int64)])
-                values = np.concatenate([values, marks_to_ids("".join(fresh)).astype(np.int32)])
+                lengths = np.concatenate([lengths, n])
+                values = np.concatenate([values, *(marks_to_ids("".join(c.to_pylist())).astype(np.int32) for c in words.chunks)])
                 table, fresh = (values, np.cumsum(lengths) - lengths, lengths), []
-            raw = part.column("codes").to_pylist()
-            counts = np.array([len(x) // 4 for x in raw], np.int64)
-            for k in range(0, len(raw), 500):
-                ids, n = chunks.ragged(*table, np.frombuffer(b"".join(raw[k : k + 500]), np.int32))
-                each = chunks.sums(n, counts[k : k + 500])
+                del words
+            for k in range(0, len(part), 250):
+                own = part.slice(k, 250)
+                raw = own.column("codes").to_pylist()
+                ids, n = chunks.ragged(*table, np.frombuffer(b"".join(raw), np.int32))
+                each = chunks.sums(n, np.array([len(x) // 4 for x in raw], np.int64))
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(each)]).astype(np.int32), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(k, len(each)), lists], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), lists], names=["doc_id", "ids"])
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, fold_bytes: int = FOLD_BYTES) -> DataFrame:
