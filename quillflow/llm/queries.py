@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from quillflow.llm import byte_bpe, chat_format, fm_index, line_templates, maxent_lm, page_text, quality_rules, super_minhash, token_files, warc_store
 from quillflow.llm.shared import shared_path, table
 
+#: Lower-case A to Z in SQL.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -102,6 +105,24 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", *byte_bpe.digests(encoded, ranks))
 
 
+_LEAK_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE["op5_fm_index"] = f"""
+WITH d AS (SELECT doc_id, {_LEAK_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_LEAK_WORDS} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, n, w[i:i + n - 1] AS g
+       FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, n, i, w[i:i + n - 1] AS g
+       FROM (SELECT doc_id, w, n, unnest(range(1, greatest(len(w) - n, -1) + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw))),
+hit AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, g)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
 @query
 def op8_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return super_minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -144,3 +165,18 @@ def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op8_super_minhash"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, w[i:i + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM d)),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN c p ON p.doc_id = x JOIN c q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
+e AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+m AS (SELECT x, min(y) AS least_id FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(least_id, d.doc_id)) AS component_id,
+  d.doc_id = least(d.doc_id, coalesce(least_id, d.doc_id)) AS kept
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m ON m.x = d.doc_id
+"""

@@ -358,3 +358,28 @@ def test_chat_format(spark):
 
 def test_base64_ranks_are_read():
     assert RANKS[base64.b64decode("dGhl")] < 50256 and min(RANKS.values()) == 0
+
+
+# --- null ids, repeated rows, all-null columns -------------------------------------------------------------------------------
+
+
+def test_null_ids_and_repeated_rows(spark, tmp_path):
+    text = prose(60)
+    rows = [(None, text), (7, text), (7, text), (8, None), (None, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    n = len(rows)
+    labels = spark.createDataFrame([(None, 1), (7, None), (7, 1)], "doc_id bigint, quality int")
+    assert quality_rules.judge(df, quality_rules.fit(df, labels)).count() == n
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r.n_dropped) for r in line_templates.drop_recurring(df).collect())
+    assert len(kept) == n and all(not x[3] for x in kept if x[1] == 7) and any(x[0] and x[3] for x in kept)
+    bench = spark.createDataFrame([(None, text), (1, None), (2, " ".join(brute.leak_words(text)[:12]))], "item_id bigint, text string")
+    assert sorted(len(r.spans) for r in fm_index.find_leaks(df, bench).collect()) == [0, 0, 0, 1, 1, 1]
+    assert sorted(len(r["ids"]) for r in byte_bpe.encode(df, RANKS, public_tokenizers.PATTERN).collect())[:3] == [0, 0, 0]
+    scores = maxent_lm.score_documents(df, updates=1).collect()
+    assert len(scores) == n and {r.n_tokens for r in scores} == {1, 61}
+    path = f"file://{tmp_path}/t"
+    token_files.write_tokens(df, path, public_tokenizers.path("byte_bpe_50k.json"))
+    starts = sorted(r.start for r in token_files.checksums(token_files.read_tokens(spark, path)).collect())
+    assert len(starts) == n and starts[0] == 0 and len(set(starts)) == n
+    nulls = spark.createDataFrame([(None, None)], "doc_id bigint, text string")
+    assert line_templates.drop_recurring(nulls).count() == super_minhash.near_duplicates(nulls).count() == maxent_lm.score_documents(nulls, updates=1).count() == 1
