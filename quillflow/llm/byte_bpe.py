@@ -50,7 +50,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 #
 # In the fold a token is one character, and characters are in the order of ranks. A word is a string of such characters, at first
 # one for each byte. The literal maps a pair of characters to the character of the joined token: cell crc32(pair) modulo their number
-# holds "pair:joined" for each of its pairs, behind two fillers and LAST, which instr() = 0 leads to.
+# holds "pair:joined" for each of its pairs, behind LAST. What follows "pair:" is the joined token, and if a cell lacks the pair, all of the
+# cell is taken to follow, which begins with LAST.
 
 LAST = chr(0x10FFFF)
 
@@ -66,7 +67,7 @@ def marks_to_ids(text: str) -> np.ndarray:
 
 
 def pair_cells(ranks: dict[bytes, int]) -> list[str]:
-    cells = [["  " + LAST] for _ in range(1 << HASH_BITS)]
+    cells = [[LAST] for _ in range(1 << HASH_BITS)]
     for token, rank in ranks.items():
         for k in range(1, len(token)):
             left, right = ranks.get(token[:k]), ranks.get(token[k:])
@@ -86,7 +87,8 @@ def fold_merges(word: Column, table: Column) -> Column:
 
     def joined(pair: Column) -> Column:
         cell = F.get(table, F.crc32(pair.cast("binary")).bitwiseAND((1 << HASH_BITS) - 1).cast("int"))
-        return let(cell, lambda c: F.substring(c, F.instr(c, F.concat(pair, F.lit(":"))) + 3, F.lit(1)))
+        after = F.call_function("substring_index", cell, F.concat(pair, F.lit(":")), F.lit(-1))
+        return F.substring(after, F.lit(1), F.lit(1))
 
     def step(state: Column, _: Column) -> Column:
         s = state["s"]
