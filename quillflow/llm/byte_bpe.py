@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quillflow.llm import chunks
 from quillflow.llm.quality_rules import let
-from quillflow.llm.shared import only
+from quillflow.llm.shared import only, short_plans
 
 FOLD_BYTES, HASH_BITS = 512, 17
 #: Bytes of a block of texts. A partition's words are forgotten after so many of them.
@@ -221,6 +221,7 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, fold_bytes: int = FOLD_BYTES) -> DataFrame:
     """(doc_id, ids) of each row of docs (doc_id, text)."""
+    short_plans(docs.sparkSession)
     staged = only(docs, "doc_id", "text").mapInArrow(_split(ranks, pattern, fold_bytes), _STAGE)
     folded = F.when(F.col("word").isNotNull(), fold_merges(F.col("word"), rank_literal(ranks))).otherwise(F.col("merged"))
     return staged.select("is_word", "doc_id", folded.alias("merged"), "codes").mapInArrow(_assemble, "doc_id bigint, ids array<int>")

@@ -32,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillflow.llm.shared import SPACE, only
+from quillflow.llm.shared import SPACE, only, short_plans
 
 MIN_WORDS, MAX_REPEAT_PERCENT, SYMBOLS = 50, 50, r"[#*$%&|<>]"
 BUCKET_BITS, ALPHA, BINS_PER_UNIT = 16, 5.0, 1000
@@ -143,6 +143,7 @@ def with_labels(docs: DataFrame, labels: DataFrame, how: str, max_broadcast: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, bits: int = BUCKET_BITS, alpha: float = ALPHA, max_broadcast_labels: int = MAX_BROADCAST_LABELS) -> Model:
+    short_plans(docs.sparkSession)
     known = with_labels(docs, labels, "left", max_broadcast_labels)
     counted = (F.col("_quality") == 1) & (F.xxhash64("doc_id") % 2 == 0)
     grams = known.select(F.coalesce(counted, F.lit(False)).cast("long").alias("t"), let(hashes_of(words_of(F.col("text"))), lambda h: buckets_of(h, bits)).alias("g"))

@@ -44,6 +44,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def short_plans(spark: SparkSession, limit: int = 200_000) -> None:
+    """Plans with large literals are not kept as text at full length: the driver holds on to the texts of past plans."""
+    spark.conf.set("spark.sql.maxPlanStringLength", str(limit))
+
+
 def ascii_lower(column):
     """Lower-case A to Z and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
