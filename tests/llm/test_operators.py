@@ -118,6 +118,27 @@ def test_deep_leaves_and_empty_tables(spark, docs, none):
     assert [i for i in got if got[i].text] == list(range(10))
 
 
+@pytest.mark.parametrize("leaf_lines", [2, 10**6])
+def test_large_leaves_give_the_same_templates(spark, leaf_lines):
+    """Copies that differ at word 4 or later, some with variables, in a leaf over the bound and under it."""
+    own = random.Random(5)
+    pool = [f"w{c}" for c in "abcdefghijklmnopqrst"]
+    bases = [[own.choice(pool) for _ in range(own.choice([1, 2, 5, 9]))] for _ in range(12)]
+    texts = {}
+    for i in range(400):
+        w = list(own.choice(bases))
+        for _ in range(own.choice([0, 1, 1, 2, 3])):
+            w[own.choice([0, own.randrange(len(w))])] = own.choice([*pool, "7", "8"])
+        texts[i] = " ".join(["all", "lines", "begin", *w])
+
+    def order(key):
+        return int(line_templates.parse_lines(pa.array([" ".join("0" if w is None else w for w in key)]), 3)[3][0])
+
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = by_id(line_templates.drop_recurring(df, leaf_lines=leaf_lines))
+    assert {i: r.text for i, r in got.items()} == brute.kept_lines(texts, order)
+
+
 # --- near duplicates ----------------------------------------------------------------------------------------------------
 
 
