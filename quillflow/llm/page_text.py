@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillflow.llm.shared import only
+from quillflow.llm.shared import drop_path, only, written
 
 SAMPLE_PAGES = 2000
 
@@ -219,8 +219,14 @@ class Classifier:
 DEFAULT = Classifier((0.9, -3.0, 2.0, 0.8, 0.6, -0.8, -1.0, 0.2, -2.0))
 
 
-def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, steps: int = 300) -> Classifier:
-    """Logistic regression on blocks whose label the page's own tags give. sample_pages bounds what it learns from."""
+def _gradient(x: np.ndarray, y: np.ndarray, n: np.ndarray, w: np.ndarray) -> np.ndarray:
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return x.T @ (n * (p - y))
+
+
+def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, steps: int = 300, driver_rows: int = 200_000) -> Classifier:
+    """Logistic regression on blocks whose label the page's own tags give. sample_pages bounds what it learns from. Up to driver_rows different examples are
+    summed on the driver; of more, Spark adds up each step's sums over all of them."""
     least = pages.select("page_id").orderBy(F.xxhash64("page_id")).limit(sample_pages)
     chosen = only(pages, "page_id", "html").where("html IS NOT NULL").join(F.broadcast(least), "page_id", "left_semi")
 
@@ -238,16 +244,35 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, steps: int = 300) ->
 
     # Sums over equal examples keep what comes to the driver small.
     rounded = chosen.mapInArrow(examples, "x array<double>, y double").select(F.transform("x", lambda v: F.round(v, 1)).alias("x"), "y")
-    rows = rounded.groupBy("x", "y").count().orderBy("x", "y").limit(200_000).collect()
-    if len({r["y"] for r in rows}) < 2:
+    counted, path = written(rounded.groupBy("x", "y").count(), "examples")
+    of_label = {r["y"]: r["n"] for r in counted.groupBy("y").agg(F.sum("count").alias("n")).collect()}
+    if len(of_label) < 2:
+        drop_path(pages.sparkSession, path)
         return DEFAULT
-    x, y, n = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]), np.array([r["count"] for r in rows], float)
-    n[y == 1] /= n[y == 1].sum() * 2
-    n[y == 0] /= n[y == 0].sum() * 2
-    w = np.array(DEFAULT.weights)
+
+    def arrays(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, y = np.array(table.column("x").to_pylist()).reshape(-1, N_FEATURES), table.column("y").to_numpy()
+        return x, y, table.column("count").to_numpy() / (2.0 * np.where(y == 1, of_label[1.0], of_label[0.0]))
+
+    def added(part) -> np.ndarray:
+        """The sum of part(x, y, n) over all examples, by Spark."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = sum((part(*arrays(b)) for b in batches), np.zeros(N_FEATURES))
+            yield pa.RecordBatch.from_arrays([pa.array(range(N_FEATURES), pa.int32()), pa.array(total)], names=["i", "v"])
+
+        sums = {r["i"]: r["v"] for r in counted.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
+        return np.array([sums[i] for i in range(N_FEATURES)])
+
+    if counted.count() <= driver_rows:
+        x, y, n = arrays(counted.orderBy("x", "y").toArrow())
+        total = lambda part: part(x, y, n)
+    else:
+        total = added
+    w, size = np.array(DEFAULT.weights), total(lambda x, y, n: np.abs(x).T @ n)
     for _ in range(steps):  # Newton's steps would do; gradient steps with a ridge are as good for nine weights
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= 2.0 * (x.T @ (n * (p - y)) + 0.002 * w) / (np.abs(x).T @ n + 0.1)
+        w -= 2.0 * (total(lambda x, y, n, w=w: _gradient(x, y, n, w)) + 0.002 * w) / (size + 0.1)
+    drop_path(pages.sparkSession, path)
     return Classifier(tuple(round(float(v), 4) for v in w))
 
 

@@ -344,6 +344,14 @@ def test_pages_on_spark(spark):
     assert page_text.extract(df.limit(0), page_text.fit(df.limit(0))).count() == 0
 
 
+def test_page_classifier_learns_from_all_examples(spark):
+    """More different examples than the driver takes: the same weights."""
+    rows = [(i, PAGE.replace("First", "First " * (i + 1)).replace('<div class="content">', "<article>")) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id bigint, html string")
+    few = page_text.fit(df, steps=4, driver_rows=3)
+    assert few.weights == pytest.approx(page_text.fit(df, steps=4).weights, abs=2e-4) and few != page_text.DEFAULT
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 6), st.data())
 def test_minimum_cut(n, data):
