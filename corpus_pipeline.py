@@ -31,8 +31,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups, _ = written(super_minhash.near_duplicates(docs).where("doc_id IS NOT NULL").select("doc_id", "kept").where("NOT kept"), "copies")
-    return docs.join(groups.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    groups, _ = written(super_minhash.near_duplicates(docs, versions=True).where("doc_id IS NOT NULL AND NOT kept").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")), "copies")
+    gone = (docs["doc_id"] == groups["_id"]) & (super_minhash.text_version(docs["text"]) == groups["_version"])
+    return docs.join(groups, gone, "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillflow.llm import chunks, words
@@ -120,7 +120,7 @@ def _sketch(bands: int, rows: int):
             b = chunks.sums(words.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), counts).view(np.int64)
             ids = block.column("doc_id").combine_chunks()
             ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
-            batch = pa.RecordBatch.from_arrays([ids, pa.array(counts), pa.array(a), pa.array(b), lists, pa.array([x.tobytes() for x in short], pa.binary())], names=["doc_id", "n_shingles", "a", "b", "bands", "slots"])
+            batch = pa.RecordBatch.from_arrays([ids, pa.array(counts), pa.array(a), pa.array(b), lists, pa.array([x.tobytes() for x in short], pa.binary()), pa.array(block.column("version").to_numpy())], names=["doc_id", "n_shingles", "a", "b", "bands", "slots", "version"])
             yield from (batch.slice(k, 1000) for k in range(0, len(batch), 1000))
 
     return run
@@ -217,6 +217,11 @@ def groups(edges: DataFrame) -> tuple[DataFrame, str]:
             return labels, path
 
 
+def text_version(text: Column | str) -> Column:
+    """Tells the texts of rows with the same doc_id apart."""
+    return F.xxhash64(text)
+
+
 def near_duplicates(
     docs: DataFrame,
     bands: int = BANDS,
@@ -224,20 +229,23 @@ def near_duplicates(
     percent: int = PERCENT,
     leader_rounds: int = LEADER_ROUNDS,
     block_nodes: int = BLOCK_NODES,
+    versions: bool = False,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text); with versions, also version, text_version() of the row's text.
+
+    Nodes are sets, numbered by a 64-bit hash of their digest, since rows of different texts may have the same doc_id."""
     spark = docs.sparkSession
-    docs = only(docs, "doc_id", "text")
-    schema = "doc_id bigint, n_shingles bigint, a bigint, b bigint, bands array<bigint>, slots binary"
+    docs = only(docs, "doc_id", "text").withColumn("version", text_version("text"))
+    schema = "doc_id bigint, n_shingles bigint, a bigint, b bigint, bands array<bigint>, slots binary, version bigint"
     sketches, _ = written(docs.mapInArrow(_sketch(bands, rows), schema), "sketches")
     known = sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
-    nodes = known.groupBy("a", "b", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "slots")).alias("m"))
-    nodes, _ = written(nodes.select("a", "b", "n_shingles", F.col("m.doc_id").alias("node"), F.col("m.bands").alias("bands"), F.col("m.slots").alias("slots")), "nodes")
+    nodes = known.groupBy("a", "b", "n_shingles").agg(F.min(F.struct("doc_id", "version", "bands", "slots")).alias("m"))
+    nodes, _ = written(nodes.select("a", "b", "n_shingles", F.xxhash64("a", "b", "n_shingles").alias("node"), "m.doc_id", "m.version", F.col("m.bands").alias("bands"), F.col("m.slots").alias("slots")), "nodes")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
     members, members_path = written(buckets.join(shared, "key").select("key", "node", "leader"), "members")
-    texts = docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts, texts_path = written(texts.select(F.col("doc_id").alias("node"), "text"), "texts")
+    chosen = nodes.select("node", "doc_id", "version").join(members.select("node").distinct(), "node", "left_semi")
+    texts, texts_path = written(docs.join(chosen, ["doc_id", "version"]).select("node", "text"), "texts")
     edges_path: list[str] = []
     tried_path: list[str] = []
 
@@ -274,11 +282,13 @@ def near_duplicates(
         drop_path(spark, open_path)
     drop_path(spark, texts_path)
     drop_path(spark, members_path)
-    found = nodes.select("a", "b", "n_shingles", "node").join(comps, "node", "left").select("a", "b", "n_shingles", F.coalesce("comp", "node").alias("comp"))
-    found, _ = written(found, "found")
-    rows_ = sketches.select("doc_id", "n_shingles", "a", "b")
-    linked = rows_.where("doc_id IS NOT NULL AND n_shingles > 0").join(found, ["a", "b", "n_shingles"]).select("doc_id", "n_shingles", F.col("comp").alias("component_id"))
-    alone = rows_.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    least = nodes.select("node", "doc_id").join(comps, "node").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    placed = nodes.select("a", "b", "n_shingles", "node", F.col("doc_id").alias("own")).join(comps, "node", "left").join(least, "comp", "left")
+    found, _ = written(placed.select("a", "b", "n_shingles", F.coalesce("least", "own").alias("comp")), "found")
+    out = ["doc_id", "n_shingles", "component_id", *(["version"] if versions else [])]
+    rows_ = sketches.select("doc_id", "n_shingles", "a", "b", "version")
+    linked = rows_.where("doc_id IS NOT NULL AND n_shingles > 0").join(found, ["a", "b", "n_shingles"]).withColumn("component_id", F.col("comp")).select(*out)
+    alone = rows_.where("doc_id IS NULL OR n_shingles = 0").withColumn("component_id", F.col("doc_id")).select(*out)
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -1,4 +1,5 @@
 import corpus_pipeline
+from quillflow.llm import super_minhash
 from tests.llm import brute
 from tests.llm.test_operators import RANKS, corpus, encoding, prose
 
@@ -27,3 +28,15 @@ def test_stages(spark, tmp_path):
     assert {i: list(r["ids"]) for i, r in seen["byte_bpe"].items()} == {i: encoding().encode_ordinary(t) for i, t in after.items()}
     whole = {r["doc_id"]: list(r["ids"]) for r in corpus_pipeline.run(spark, d).collect()}
     assert whole == {i: list(r["ids"]) for i, r in seen["byte_bpe"].items()} and RANKS
+
+
+def test_repeated_ids_of_different_texts(spark):
+    """Each row stays or goes, and gets its group, by its own text."""
+    a, b = prose(60), prose(60)
+    rows = [(1, a), (7, a), (7, b), (7, None), (9, b), (9, prose(60))]
+    df = spark.createDataFrame([(i, t, "v") for i, t in rows], "doc_id bigint, text string, version string")
+    left = corpus_pipeline.near_dedup(spark, df, "")
+    assert left.columns == df.columns
+    assert sorted((r.doc_id, r.text or "") for r in left.collect()) == sorted([(1, a), (7, b), (7, ""), rows[5]])
+    found = [(r.doc_id, r.component_id) for r in super_minhash.near_duplicates(df).collect()]
+    assert sorted(found) == [(1, 1), (7, 1), (7, 7), (7, 7), (9, 7), (9, 9)]
