@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words: the ASCII space and the controls 0x09 to 0x0D.
@@ -16,15 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _local_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="quillflow-")
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in
-    local tests, a temporary folder is made and set for the session."""
+    tests, a temporary folder serves a local master only."""
     key = "spark.checkpoint.dir"
     root = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="quillflow-")
-        spark.conf.set(key, root)
-    return root.rstrip("/")
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"{key} has to name a folder that driver and executors share")
+    return (root or _local_root()).rstrip("/")
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -57,3 +62,31 @@ def ascii_lower(column):
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; extra columns, whatever their names, take no part."""
     return df.select(*(df[n] for n in names))
+
+
+# --- joins with keys that a large share of the rows may hold ---------------------------------------------------------------
+#
+# The rows of a key are dealt to SALTS parts by a hash of another column. What is joined to them is there once for each part that the key has, so a rare
+# key costs one row, and a frequent one SALTS at most.
+
+SALTS = 64
+
+
+def salt(by: Column | str) -> Column:
+    return F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+
+
+def salts(by: Column | str) -> Column:
+    """Which parts the rows of a group are in, as an aggregate: a bit for each part."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), salt(by)))
+
+
+def each_salt(bits: Column | str) -> Column:
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit(bits, k) == 1))
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, on: str, by: str) -> DataFrame:
+    """rows with the fact of their key (inner); facts has a row for each key at most. by: a column of rows that differs within a key."""
+    parts = rows.groupBy(on).agg(salts(by).alias("_parts"))
+    dealt = facts.join(parts, on).withColumn("_salt", each_salt(F.col("_parts"))).drop("_parts")
+    return rows.withColumn("_salt", salt(by)).join(dealt, [on, "_salt"]).drop("_salt")

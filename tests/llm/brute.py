@@ -99,13 +99,11 @@ def kept_lines(texts: dict, order, similarity: float = 0.75) -> dict:
     for v in leaf.values():
         found: list = []
         for k in sorted(v, key=order):
-            agree = [sum(a == b for a, b in zip(t, k, strict=True)) for t, _ in found]
-            best = max(range(len(found)), key=lambda n: (agree[n], -n), default=None)
-            if best is not None and agree[best] >= similarity * len(k):
-                found[best][0][:] = [a if a == b else None for a, b in zip(found[best][0], k, strict=True)]
-                found[best][1].append(k)
+            near = next((ks for centre, ks in found if sum(a == b for a, b in zip(centre, k, strict=True)) >= similarity * len(k)), None)
+            if near is not None:
+                near.append(k)
             else:
-                found.append((list(k), [k]))
+                found.append((k, [k]))
         for _, ks in found:
             lo, hi = min(v[k][0] for k in ks), max(v[k][1] for k in ks)
             if lo < hi:

@@ -98,11 +98,13 @@ def test_quality_without_labels_or_rows(spark, docs, none):
 # --- line dedup ---------------------------------------------------------------------------------------------------------
 
 
-def test_line_templates(spark, docs):
-    def order(key):
-        return int(line_templates.parse_lines(pa.array([" ".join("0" if w is None else w for w in key)]), 3)[3][0])
+def line_order(key):
+    """A line's place in the order of hashes."""
+    return int(line_templates.parse_lines(pa.array([" ".join("0" if w is None else w for w in key)]), 3)[3][0])
+
 
-    wanted = brute.kept_lines(corpus(), order)
+def test_line_templates(spark, docs):
+    wanted = brute.kept_lines(corpus(), line_order)
     got = by_id(line_templates.drop_recurring(docs))
     assert {i: r.text for i, r in got.items()} == wanted
     assert all(r.n_chars == len(r.text or "") for r in got.values())
@@ -110,33 +112,51 @@ def test_line_templates(spark, docs):
     assert got[5].text == corpus()[5] and set(got[85].text.split("\n")) <= set(corpus()[5].split("\n"))
 
 
-def test_deep_leaves_and_empty_tables(spark, docs, none):
+def test_equal_lines_and_empty_tables(spark, docs, none):
     assert line_templates.drop_recurring(none).count() == 0
     rows = [(i, f"same start of all lines here x{w} y{w} z{w}") for i, w in enumerate("abcdefghij" * 3)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = by_id(line_templates.drop_recurring(df, similarity=1.0, leaf_lines=2))
+    got = by_id(line_templates.drop_recurring(df, similarity=1.0))
     assert [i for i in got if got[i].text] == list(range(10))
 
 
-@pytest.mark.parametrize("leaf_lines", [2, 10**6])
-def test_large_leaves_give_the_same_templates(spark, leaf_lines):
-    """Copies that differ at word 4 or later, some with variables, in a leaf over the bound and under it."""
+def test_templates_are_the_greedy_ones(spark):
+    """Copies that differ at word 4 or later, some with variables, in one leaf for each length."""
     own = random.Random(5)
     pool = [f"w{c}" for c in "abcdefghijklmnopqrst"]
-    bases = [[own.choice(pool) for _ in range(own.choice([1, 2, 5, 9]))] for _ in range(12)]
+    bases = [[own.choice(pool) for _ in range(own.choice([1, 2, 3, 5, 8]))] for _ in range(12)]
     texts = {}
-    for i in range(400):
+    for i in range(500):
         w = list(own.choice(bases))
         for _ in range(own.choice([0, 1, 1, 2, 3])):
             w[own.choice([0, own.randrange(len(w))])] = own.choice([*pool, "7", "8"])
         texts[i] = " ".join(["all", "lines", "begin", *w])
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = by_id(line_templates.drop_recurring(df))
+    assert {i: r.text for i, r in got.items()} == brute.kept_lines(texts, line_order)
+
 
-    def order(key):
-        return int(line_templates.parse_lines(pa.array([" ".join("0" if w is None else w for w in key)]), 3)[3][0])
+@pytest.mark.parametrize("n", [1900, 2500, 20_000])
+def test_a_leaf_of_any_size(spark, n):
+    """One line a document with a variable field, all in one leaf: it stays in the first document."""
+    word = F.concat(*(F.element_at(F.array(*map(F.lit, "abcdefghij")), (F.floor(F.col("id") / 10**k) % 10 + 1).cast("int")) for k in range(5)))
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("please read the "), word, F.lit(" page for all further terms of use")).alias("text"))
+    assert line_templates.drop_recurring(df).agg(F.sum("n_dropped")).first()[0] == n - 1
 
+
+def test_long_lines(spark):
+    """Lines of 40 words that differ in up to a fifth of their places."""
+    own, base = random.Random(3), [f"{a}{b}" for a in "bcdfghjk" for b in "aeiou"]
+    texts = {}
+    for i in range(60):
+        w = list(base)
+        for k in own.sample(range(3, 40), own.randint(0, 4)):
+            w[k] = own.choice("xyz") * own.randint(3, 9)
+        texts[i] = " ".join(w)
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    got = by_id(line_templates.drop_recurring(df, leaf_lines=leaf_lines))
-    assert {i: r.text for i, r in got.items()} == brute.kept_lines(texts, order)
+    assert [i for i, r in by_id(line_templates.drop_recurring(df)).items() if r.text] == [0]
+    parts, miss = line_templates.places_parts(40, 3, 0.75)
+    assert miss == 10 and len(parts) == 11 and line_templates.places_parts(11, 3, 0.75)[1] == 2 and len(line_templates.places_parts(11, 3, 0.75)[0]) == 8
 
 
 # --- near duplicates ----------------------------------------------------------------------------------------------------
