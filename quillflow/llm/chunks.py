@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ import pyarrow.compute as pc
 #: All code points of the Unicode property White_Space, and the separators 0x1C to 0x1F that some libraries add.
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _UNSAFE = rf"( {_WHITE})|({_WHITE} )|(^ )|( $)"
-BLOCK_BYTES, BLOCK_ROWS = 12 << 20, 1 << 16
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 1 << 16
 
 
 @dataclass
@@ -61,6 +62,22 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
+@cache
+def _libc():
+    import ctypes
+
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not glibc
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Free memory goes back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    _libc()(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
     """Batches joined until a block holds about limit bytes of the text column or BLOCK_ROWS rows, and large batches cut."""
     held, size, rows = [], 0, 0
@@ -75,7 +92,11 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
             size += int(sizes[at : at + n].sum())
             at += n
             if size >= limit * 0.9 or rows >= BLOCK_ROWS:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held, size, rows = [], 0, 0
+                block, held, size, rows = pa.Table.from_batches(held).combine_chunks(), [], 0, 0
+                yield block
+                del block
+                give_back()
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    held = []
+    give_back()

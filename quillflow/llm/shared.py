@@ -49,6 +49,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Batches between JVM and Python hold few texts, so that neither side needs much memory for them. Lower limits that are set already stay."""
+    for key, limit in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= limit):
+            spark.conf.set(name, str(limit))
+
+
 def short_plans(spark: SparkSession, limit: int = 200_000) -> None:
     """Plans with large literals are not kept as text at full length: the driver holds on to the texts of past plans."""
     spark.conf.set("spark.sql.maxPlanStringLength", str(limit))
@@ -85,8 +94,9 @@ def each_salt(bits: Column | str) -> Column:
     return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit(bits, k) == 1))
 
 
-def join_hot(rows: DataFrame, facts: DataFrame, on: str, by: str) -> DataFrame:
-    """rows with the fact of their key (inner); facts has a row for each key at most. by: a column of rows that differs within a key."""
-    parts = rows.groupBy(on).agg(salts(by).alias("_parts"))
+def join_hot(rows: DataFrame, facts: DataFrame, on: str, by: str, like: DataFrame | None = None) -> DataFrame:
+    """rows with the fact of their key (inner); facts has a row for each key at most. by: a column of rows that differs within a key. like: the same
+    keys and by-columns as in rows, where rows are wide or costly to make twice."""
+    parts = (rows if like is None else like).groupBy(on).agg(salts(by).alias("_parts"))
     dealt = facts.join(parts, on).withColumn("_salt", each_salt(F.col("_parts"))).drop("_parts")
     return rows.withColumn("_salt", salt(by)).join(dealt, [on, "_salt"]).drop("_salt")

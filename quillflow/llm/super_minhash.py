@@ -15,7 +15,11 @@ is empty and links with nothing. Documents are linked if 100 * intersection >= 7
    different groups compared where they stand, in blocks of bounded size: on 32-bit hashes of the full sets, which can only take a pair for too similar,
    but for pairs whose signatures agree in so few slots that a pair at the threshold would have to be six standard deviations off. A pair is taken in the
    first bucket that it shares, and what is left is verified like all others. So no bucket is cut or dropped, and pairs that aren't links are no rows.
-5. Groups are found by passing on least labels and jumping over pointers, in tables in shared storage.
+5. Groups are found by union-find over the links, as rounds over tables in shared storage: each node takes the least label among its neighbours' (union),
+   then the label of its label (find, by pointer jumping), until no label changes.
+
+Scale: what a large share of the rows may have in common (a bucket's key, a leader, a group, a set of many copies) is dealt to parts wherever rows are joined by it
+(shared.join_hot).
 
 Rows with a null doc_id take no part: component_id is null and they are kept. Rows that repeat a doc_id are one node; each row
 gets the group of its text. An empty table gives an empty result. Extra columns are ignored.
@@ -32,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillflow.llm import chunks, words
-from quillflow.llm.shared import drop_path, only, written
+from quillflow.llm.shared import bounded_batches, drop_path, each_salt, join_hot, only, salt, salts, written
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 48, 4
@@ -195,7 +199,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) whose full shingle sets are similar enough."""
     left = texts.select(F.col("node").alias("x"), F.col("text").alias("left_text"))
     right = texts.select(F.col("node").alias("y"), F.col("text").alias("right_text"))
-    joined = pairs.join(left, "x").join(right, "y").select("x", "y", "left_text", "right_text")
+    joined = join_hot(join_hot(pairs, left, "x", "y"), right, "y", "x", pairs).select("x", "y", "left_text", "right_text")
     return joined.mapInArrow(_confirm(percent), "x bigint, y bigint")
 
 
@@ -205,11 +209,13 @@ def groups(edges: DataFrame) -> tuple[DataFrame, str]:
     both, both_path = written(edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))), "edges")
     labels, path = written(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
     while True:
-        heard = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("comp").alias("heard"))
+        heard = join_hot(both, labels.withColumnRenamed("node", "y"), "y", "x").groupBy("x").agg(F.min("comp").alias("heard"))
         better = labels.join(heard, F.col("node") == F.col("x")).select("node", F.col("comp").alias("old"), F.least("comp", "heard").alias("comp"))
-        root = labels.select(F.col("node").alias("r"), F.col("comp").alias("r_comp"))
-        jumped = better.join(root, F.col("comp") == F.col("r"), "left").select("node", "old", F.least("comp", "r_comp").alias("comp"))
+        better, better_path = written(better, "heard")
+        root = labels.select(F.col("node").alias("comp"), F.col("comp").alias("r_comp"))
+        jumped = join_hot(better, root, "comp", "node").select("node", "old", F.least("comp", "r_comp").alias("comp"))
         table, next_path = written(jumped, "labels")
+        drop_path(spark, better_path)
         drop_path(spark, path)
         labels, path = table.select("node", "comp"), next_path
         if table.where("old != comp").isEmpty():
@@ -235,6 +241,7 @@ def near_duplicates(
 
     Nodes are sets, numbered by a 64-bit hash of their digest, since rows of different texts may have the same doc_id."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = only(docs, "doc_id", "text").withColumn("version", text_version("text"))
     schema = "doc_id bigint, n_shingles bigint, a bigint, b bigint, bands array<bigint>, slots binary, version bigint"
     sketches, _ = written(docs.mapInArrow(_sketch(bands, rows), schema), "sketches")
@@ -242,8 +249,9 @@ def near_duplicates(
     nodes = known.groupBy("a", "b", "n_shingles").agg(F.min(F.struct("doc_id", "version", "bands", "slots")).alias("m"))
     nodes, _ = written(nodes.select("a", "b", "n_shingles", F.xxhash64("a", "b", "n_shingles").alias("node"), "m.doc_id", "m.version", F.col("m.bands").alias("bands"), F.col("m.slots").alias("slots")), "nodes")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
-    members, members_path = written(buckets.join(shared, "key").select("key", "node", "leader"), "members")
+    shared = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"), salts("node").alias("parts")).where("leader < last")
+    dealt = shared.select("key", "leader", each_salt(F.col("parts")).alias("_salt"))
+    members, members_path = written(buckets.withColumn("_salt", salt("node")).join(dealt, ["key", "_salt"]).select("key", "node", "leader"), "members")
     chosen = nodes.select("node", "doc_id", "version").join(members.select("node").distinct(), "node", "left_semi")
     texts, texts_path = written(docs.join(chosen, ["doc_id", "version"]).select("node", "text"), "texts")
     edges_path: list[str] = []
@@ -274,7 +282,7 @@ def near_duplicates(
             # Another leader in each bucket: the least by a hash that differs from round to round.
             lead = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(n)).alias("h"), "node", "comp")).alias("l"))
             lead = lead.select("key", F.col("l.node").alias("y"), F.col("l.comp").alias("y_comp"))
-            pairs = open_.join(lead, "key").where("comp != y_comp").select(F.col("node").alias("x"), "y")
+            pairs = join_hot(open_, lead, "key", "node").where("comp != y_comp").select(F.col("node").alias("x"), "y")
         else:
             pairs = all_open_pairs(open_, nodes, texts, block_nodes, percent)
         if verify(pairs):
@@ -282,21 +290,22 @@ def near_duplicates(
         drop_path(spark, open_path)
     drop_path(spark, texts_path)
     drop_path(spark, members_path)
-    least = nodes.select("node", "doc_id").join(comps, "node").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    placed = nodes.select("a", "b", "n_shingles", "node", F.col("doc_id").alias("own")).join(comps, "node", "left").join(least, "comp", "left")
-    found, _ = written(placed.select("a", "b", "n_shingles", F.coalesce("least", "own").alias("comp")), "found")
+    placed, placed_path = written(nodes.select("node", F.col("doc_id").alias("own")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
+    least = placed.groupBy("comp").agg(F.min("own").alias("least"))
+    found, _ = written(join_hot(placed, least, "comp", "node").select("node", F.col("least").alias("comp")), "found")
+    drop_path(spark, placed_path)
     out = ["doc_id", "n_shingles", "component_id", *(["version"] if versions else [])]
-    rows_ = sketches.select("doc_id", "n_shingles", "a", "b", "version")
-    linked = rows_.where("doc_id IS NOT NULL AND n_shingles > 0").join(found, ["a", "b", "n_shingles"]).withColumn("component_id", F.col("comp")).select(*out)
+    rows_ = sketches.select("doc_id", "n_shingles", F.xxhash64("a", "b", "n_shingles").alias("node"), "version")
+    linked = join_hot(rows_.where("doc_id IS NOT NULL AND n_shingles > 0"), found, "node", "doc_id").withColumn("component_id", F.col("comp")).select(*out)
     alone = rows_.where("doc_id IS NULL OR n_shingles = 0").withColumn("component_id", F.col("doc_id")).select(*out)
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def open_members(members: DataFrame, comps: DataFrame) -> DataFrame:
     """(key, node, comp) of the buckets that hold nodes of more than one group."""
-    placed = members.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    placed, _ = written(members.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "members-now")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi AND n > 2")
-    return placed.join(mixed.select("key", "n"), "key")
+    return join_hot(placed, mixed.select("key", "n"), "key", "node")
 
 
 def all_open_pairs(open_: DataFrame, nodes: DataFrame, texts: DataFrame, block_nodes: int, percent: int) -> DataFrame:

@@ -136,6 +136,15 @@ def test_templates_are_the_greedy_ones(spark):
     assert {i: r.text for i, r in got.items()} == brute.kept_lines(texts, line_order)
 
 
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from("ab 1\n\t\u00a0é\x0b"), max_size=30)), min_size=1, max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_leaves_by_leading_words(texts):
+    array = pa.array(texts, pa.string())
+    owner, _, leaf, _, n, _ = line_templates.parse_lines(array, 3)
+    for one, two in zip(line_templates.leaf_hashes(array, 3), (owner, leaf, n), strict=True):
+        assert (one[n > 0] == two[n > 0]).all()
+
+
 @pytest.mark.parametrize("n", [1900, 2500, 20_000])
 def test_a_leaf_of_any_size(spark, n):
     """One line a document with a variable field, all in one leaf: it stays in the first document."""
