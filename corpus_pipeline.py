@@ -2,7 +2,7 @@
 
 1. quality_rules: documents that fail the base rules or score below the threshold go.
 2. line_dedup: lines whose template recurs across documents stay in the first document only; documents of which no word is left go, those that had none before stay.
-3. near_dedup: of each group of near copies the document with the smallest id stays.
+3. near_dedup: of each group of near copies the document with the smallest id stays. Copies are told by the texts in documents, then by what line dedup left.
 4. decontaminate: passages of benchmark items are cut from the texts.
 5. byte_bpe: each text's token ids, with digests of the ids and of the decoded bytes.
 
@@ -31,6 +31,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """First by the texts before line dedup, which takes away from near copies the lines that they share; then, of what stays, by the texts as they are.
+    Rows without an id, or with an id that more than one row has here or in documents, take part in the second only."""
+    single = lambda df: df.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("doc_id")
+    before = table(spark, sf_dir, "documents").select("doc_id", "text")
+    before = before.join(single(before), "doc_id", "left_semi").join(single(docs), "doc_id", "left_semi")
+    copies, _ = written(super_minhash.near_duplicates(before).where("NOT kept").select("doc_id"), "copies-before")
+    docs, _ = written(docs.join(copies, "doc_id", "left_anti").select(*docs.columns), "without-copies")
     groups, _ = written(super_minhash.near_duplicates(docs, versions=True).where("doc_id IS NOT NULL AND NOT kept").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")), "copies")
     gone = (docs["doc_id"] == groups["_id"]) & (super_minhash.text_version(docs["text"]) == groups["_version"])
     return docs.join(groups, gone, "left_anti").select(*docs.columns)
