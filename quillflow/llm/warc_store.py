@@ -6,14 +6,19 @@ The archive has two tables in one folder:
   and all three are computed again from the stored bytes when the archive is read.
 - ``headers``: one row for each record: the exact WARC/1.1 header block, and the key of its payload.
 
+Reading puts each record's bytes together again (header block, blank line, body, two line ends), parses them, and checks the body's length against Content-Length
+and its SHA-1, for a revisit that of the payload it refers to, against the digest that the header names. What it returns comes from these bytes.
+
 Of records with equal payloads of at least ``min_revisit_bytes`` bytes, the one with the largest id is the
 response and the others are revisits that refer to it. Smaller payloads are stored once as well, but each of
-their records is a response. A null html is an empty payload; a null url gives an empty target; rows with a null
+their records is a response. A null html is an empty payload. A null url gives no target header; one that a header line can't hold as it is (empty, with line ends
+or with white space at its ends) is percent-encoded there and kept exactly in a header of its own. Rows with a null
 id are kept and never refer to others. Repeated ids (ties) each get a record; all rows of the largest id are responses. Empty
 tables give empty archives. Extra columns are ignored.
 
 Scale: copies meet by partial aggregation, so a payload that a third of all rows share crosses the network once a
-task; payload bytes are shuffled once, when the store is made, and not again unless the caller asks for them.
+task; payload bytes are shuffled when the store is made and when records are put together, once for each different payload (shared.SALTS times at most for one
+that very many records have), and what their records need is dealt to parts (shared.join_hot).
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillflow.llm.shared import only
+from quillflow.llm.shared import join_hot, only
 
 MIN_REVISIT_BYTES = 1000
 CRLF = "\r\n"
@@ -38,13 +43,15 @@ def record_urn(record_id: Column) -> Column:
 
 def header_block(uri: Column, sha1: Column, n_bytes: Column, kind: Column, refers_to: Column, record_id: Column) -> Column:
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
-    uri = F.regexp_replace(F.coalesce(uri, F.lit("")), r"[\r\n]", "")
+    plain = F.regexp_replace(F.regexp_replace(F.trim(uri), "\r", "%0D"), "\n", "%0A")
+    exact = F.when(uri.rlike(r"[\r\n]|^\s|\s$") | (uri == ""), line("X-Target-URI-Base64", F.translate(F.base64(uri.cast("binary")), CRLF, "")))
     return F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         line("WARC-Type", kind),
         line("WARC-Record-ID", record_urn(record_id)),
         line("WARC-Date", F.lit(DATE)),
-        line("WARC-Target-URI", uri),
+        F.coalesce(F.when(uri.isNotNull(), line("WARC-Target-URI", plain)), F.lit("")),
+        F.coalesce(exact, F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), sha1)),
         F.when(
             kind == "revisit",
@@ -56,13 +63,14 @@ def header_block(uri: Column, sha1: Column, n_bytes: Column, kind: Column, refer
         ).otherwise(""),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(kind == "revisit", F.lit(0)).otherwise(n_bytes).cast("string")),
+        line("X-Payload-Length", n_bytes.cast("string")),
         line("X-Page", F.coalesce(record_id.cast("string"), F.lit(""))),
     )
 
 
 def header_value(header: Column, name: str) -> Column:
-    value = F.regexp_extract(header, rf"(?m)^{name}: ([^\r\n]*)", 1)
-    return F.when(value != "", value)
+    """The value of a header line, null where there is none."""
+    return F.when(header.rlike(rf"(?m)^{name}: "), F.regexp_extract(header, rf"(?m)^{name}: ([^\r\n]*)", 1))
 
 
 def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> None:
@@ -78,8 +86,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVI
     )
     held = pages.sparkSession.read.parquet(f"{path}/payloads").select("payload_key", "holder", "n_bytes", "sha1")
     records = (
-        keyed.select("page_id", "url", "payload_key")
-        .join(held, "payload_key")
+        join_hot(keyed.select("page_id", "url", "payload_key"), held, "payload_key", "page_id")
         .withColumn("kind", F.when((F.col("n_bytes") >= min_revisit_bytes) & (F.col("page_id") != F.col("holder")), "revisit").otherwise("response"))
         .withColumn("refers_to", F.when(F.col("kind") == "revisit", F.col("holder")))
     )
@@ -91,41 +98,56 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVI
     ).write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
+def _wrong(what: str, key: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(f"{what}: "), key))
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record: what its header says, its payload, and the payload's length and digests computed
-    from the stored bytes. Only the columns that are used get read and shuffled. A payload that doesn't match its
-    key, or a header that doesn't match its payload, stops the read."""
+    """One row for each record: its bytes (record), what they say, and the full payload. A payload that doesn't match its
+    key, or a record that doesn't match its payload, stops the read."""
+    key = F.col("payload_key")
     stored = spark.read.parquet(f"{path}/payloads").select(
-        F.when(F.sha2("payload", 256) == F.col("payload_key"), F.col("payload_key"))
-        .otherwise(F.raise_error(F.concat(F.lit("payload is damaged: "), F.col("payload_key"))))
-        .alias("payload_key"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha1("payload").alias("payload_digest"),
+        F.when(F.sha2("payload", 256) == key, key).otherwise(_wrong("payload is damaged", key)).alias("payload_key"),
+        F.octet_length("payload").cast("long").alias("real_bytes"),
+        F.sha1("payload").alias("real_sha1"),
         "payload",
     )
-    headers = spark.read.parquet(f"{path}/headers").withColumn("text", F.col("header").cast("string"))
-    return (
-        headers.select(
-            header_value(F.col("text"), "X-Page").cast("long").alias("page_id"),
-            header_value(F.col("text"), "WARC-Target-URI").alias("url"),
-            header_value(F.col("text"), "WARC-Type").alias("record_type"),
-            header_value(F.col("text"), "X-Refers-To-Page").cast("long").alias("refers_to"),
-            header_value(F.col("text"), "WARC-Payload-Digest").alias("said"),
-            "header",
-            "payload_key",
-        )
-        .join(stored, "payload_key")
-        .withColumn(
-            "payload_digest",
-            F.when(F.col("said") == F.concat(F.lit("sha1:"), F.col("payload_digest")), F.col("payload_digest")).otherwise(
-                F.raise_error(F.concat(F.lit("header and payload differ: "), F.col("payload_key")))
-            ),
-        )
-        .drop("said")
+    headers = spark.read.parquet(f"{path}/headers")
+    records = join_hot(headers, stored, "payload_key", "header").withColumn("record", record_bytes(F.col("header"), F.col("payload")))
+    # The header block ends at the first blank line; the two line ends after the body are no part of it.
+    end = F.instr(F.col("record").cast("string"), CRLF * 2)
+    head = F.substring(F.col("record").cast("string"), F.lit(1), end + 1)
+    size = F.octet_length(head) + len(CRLF)
+    body = F.substring(F.col("record"), size + 1, F.octet_length("record") - size - 2 * len(CRLF))
+    parsed = records.select("payload_key", "payload", "real_bytes", "real_sha1", "record", head.alias("head"), body.alias("body"))
+    said = parsed.select(
+        "*",
+        header_value(F.col("head"), "X-Page").alias("page"),
+        header_value(F.col("head"), "WARC-Target-URI").alias("uri"),
+        F.unbase64(header_value(F.col("head"), "X-Target-URI-Base64")).cast("string").alias("exact_uri"),
+        header_value(F.col("head"), "WARC-Type").alias("record_type"),
+        header_value(F.col("head"), "X-Refers-To-Page").cast("long").alias("refers_to"),
+        F.substring_index(header_value(F.col("head"), "WARC-Payload-Digest"), "sha1:", -1).alias("payload_digest"),
+        header_value(F.col("head"), "X-Payload-Length").cast("long").alias("payload_bytes"),
+        header_value(F.col("head"), "Content-Length").cast("long").alias("length"),
+    )
+    revisit = F.col("record_type") == "revisit"
+    whole = F.octet_length("body").cast("long") == F.col("length")
+    fits = F.when(revisit, (F.col("length") == 0) & (F.col("real_sha1") == F.col("payload_digest"))).otherwise((F.sha1("body") == F.col("payload_digest")) & (F.col("length") == F.col("payload_bytes")))
+    fits = F.coalesce(whole & fits & (F.col("payload_bytes") == F.col("real_bytes")), F.lit(False))
+    return said.select(
+        F.when(fits, F.when(F.col("page") != "", F.col("page").cast("long"))).otherwise(_wrong("record and payload differ", key).cast("long")).alias("page_id"),
+        F.coalesce("exact_uri", "uri").alias("url"),
+        "record_type",
+        "refers_to",
+        "payload_bytes",
+        "payload_digest",
+        "payload",
+        "record",
     )
 
 
-def record_bytes(archive: DataFrame) -> Column:
-    """The original record: header block, blank line, payload (none for a revisit), two line ends."""
-    body = F.when(archive["record_type"] == "revisit", F.lit(b"")).otherwise(archive["payload"])
-    return F.concat(archive["header"], F.lit(CRLF.encode()), body, F.lit((CRLF * 2).encode()))
+def record_bytes(header: Column, payload: Column) -> Column:
+    """The original record: header block, blank line, body (none for a revisit), two line ends."""
+    body = F.when(header.cast("string").contains(f"WARC-Type: revisit{CRLF}"), F.lit(b"")).otherwise(payload)
+    return F.concat(header, F.lit(CRLF.encode()), body, F.lit((CRLF * 2).encode()))

@@ -326,26 +326,40 @@ def test_class_model_is_a_distribution():
 
 
 def test_archive(spark):
-    big = "<p>é</p>" * 200
-    rows = [(1, "u1", big), (9, "u9\r\nX: y", big), (5, None, big), (2, "s", "small"), (3, "s", "small"), (4, "n", None), (6, "e", ""), (None, "z", big)]
-    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("sha1", F.lit("clash"))
+    big = "<p>é</p>\r\n\r\n" * 200
+    rows = [(1, "u1", big), (9, "u9\r\nWARC-Type: y", big), (5, None, big), (2, "s", "small"), (3, "", "small"), (4, " n ", None), (6, "e", ""), (None, "z", big), (7, "http://a/\rb\nc", "\r\n\r\n"), (7, "again", "other"), (8, "l", "x" * 300_000)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("sha1", F.lit("clash")).withColumn("payload", F.lit(1))
     path = shared_path(spark, "test")
     warc_store.write_archive(df, path)
-    found = warc_store.read_archive(spark, path)
-    got = by_id(found.withColumn("record", warc_store.record_bytes(found)), "page_id")
-    assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("revisit", 9), 9: ("response", None), 5: ("revisit", 9), 2: ("response", None), 3: ("response", None), 4: ("response", None), 6: ("response", None), None: ("response", None)}
-    for i, _, html in rows:
-        raw = (html or "").encode()
-        assert (got[i].payload_bytes, got[i].payload_digest, bytes(got[i].payload)) == (len(raw), hashlib.sha1(raw).hexdigest(), raw)
-        head, body = bytes(got[i].record).split(b"\r\n\r\n", 1)
-        assert head.startswith(b"WARC/1.1\r\nWARC-Type: " + got[i].record_type.encode())
-        assert body == (b"" if got[i].record_type == "revisit" else raw) + b"\r\n\r\n" and b"\r\nX: y" not in head
-    assert spark.read.parquet(f"{path}/payloads").count() == 3  # each payload once
+    got = {(r.page_id, r.url): r for r in warc_store.read_archive(spark, path).collect()}
+    assert set(got) == {(i, u) for i, u, _ in rows} and len(got) == len(rows)  # urls come back as they were
+    kinds = {(1, "u1"): ("revisit", 9), (5, None): ("revisit", 9)}
+    for i, url, html in rows:
+        raw, r = (html or "").encode(), got[i, url]
+        assert (r.record_type, r.refers_to) == kinds.get((i, url), ("response", None))
+        assert (r.payload_bytes, r.payload_digest, bytes(r.payload)) == (len(raw), hashlib.sha1(raw).hexdigest(), raw)
+        head, body = bytes(r.record).split(b"\r\n\r\n", 1)
+        assert head.startswith(b"WARC/1.1\r\nWARC-Type: " + r.record_type.encode()) and head.count(b"\r\nWARC-Type: ") == 1
+        assert body == (b"" if r.record_type == "revisit" else raw) + b"\r\n\r\n"
+    assert spark.read.parquet(f"{path}/payloads").count() == 6  # each payload once
     empty = shared_path(spark, "test")
     warc_store.write_archive(df.limit(0), empty)
     assert warc_store.read_archive(spark, empty).count() == 0
 
 
+def test_archive_finds_damage(spark):
+    df = spark.createDataFrame([(1, "u", "some text"), (2, "v", "other text")], "page_id bigint, url string, html string")
+    for part, change in (("payloads", F.expr("CAST(concat(CAST(payload AS STRING), 'x') AS BINARY)")), ("headers", F.expr("CAST(regexp_replace(CAST(header AS STRING), 'Content-Length: ', 'Content-Length: 1') AS BINARY)"))):
+        path = shared_path(spark, "test")
+        warc_store.write_archive(df, path)
+        other = shared_path(spark, "test")
+        for p in ("payloads", "headers"):
+            t = spark.read.parquet(f"{path}/{p}")
+            (t.withColumn("payload" if p == "payloads" else "header", change) if p == part else t).write.parquet(f"{other}/{p}")
+        with pytest.raises(Exception, match="damaged|differ"):
+            warc_store.read_archive(spark, other).collect()
+
+
 # --- pages --------------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x="</p><p>no</p>";</script></head><body><header><a href=/>Home</a></header>
