@@ -2,12 +2,12 @@
 
 A page is cut to blocks of text at block-level tags. A linear classifier gives each block a cost of being called content and one of being called
 boilerplate; these are the capacities to the two terminals. Neighbouring blocks, and blocks next to each other under one parent, are
-joined by edges whose capacity is what it costs to label them differently. The minimum cut is the cheapest labelling; the blocks on the
-content side are the text, in page order.
+joined by edges whose capacity is what it costs to label them differently: the less, the farther apart they are in the page's tree. The minimum cut is the cheapest
+labelling; the blocks on the content side are the text, in page order.
 
 The classifier is a logistic regression, fitted here on blocks of at most `sample_pages` pages (the pages with the least hash of their id), whose labels come from
-the page's own semantic tags: blocks inside article or main against blocks of nav, header, footer, aside and form. Its features say
-nothing of these tags, so it also serves pages without them; the tags themselves are added to the cost with fixed weights.
+the page's own semantic tags: blocks inside article or main against blocks of nav, header, footer, aside and form. Each example counts twice, with what tags and names
+around it say among its features, and without, so the weights also serve pages that have neither.
 
 Markup inside scripts, styles, comments, templates and the head is no text. Character references are decoded, white space inside a block
 becomes one space, blocks are trimmed and joined by one space. Nothing else is dropped, and long pages are read to their end. A null or empty
@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -55,8 +56,9 @@ BOILER_NAMES = frozenset(
 )
 CONTENT_NAMES = frozenset("article articlebody body-text content entry entry-content main maincontent post post-body post-content story text".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)", re.S)  # a quote without its partner is a character
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*(?:>|\Z)", re.I) for tag in RAW_TAGS}
 _SPACE = re.compile(r"\s+")
 _NAME_PART = re.compile(r"[a-z]+")
 
@@ -71,6 +73,7 @@ class Block:
     named_boiler: bool
     named_content: bool
     linked: int = 0  # characters inside links
+    apart: int = 0  # steps in the page's tree from the block before
 
 
 def element_marks(tag: str, attributes: str) -> tuple[bool, bool]:
@@ -95,28 +98,71 @@ def element_marks(tag: str, attributes: str) -> tuple[bool, bool]:
     return boiler, content
 
 
+class _Open:
+    """The open elements, and where those of each tag and the blocks are, so that no step looks through all of them."""
+
+    def __init__(self):
+        #: (tag, number, content tag above, boilerplate tag above, boilerplate name above, content name above, silent)
+        self.stack: list[tuple] = [("", 0, False, False, False, False, False)]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+        self.low = 1  # the least number of open elements since the last block of text
+
+    def push(self, element: tuple) -> None:
+        self.places[element[0]].append(len(self.stack))
+        if element[0] in BLOCK_TAGS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(element)
+
+    def last(self, *tags: str) -> int:
+        """Where the innermost element of these tags is; 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+
+    def cut(self, k: int) -> None:
+        """Close the elements from k on."""
+        for tag, *_ in self.stack[k:]:
+            if tag:
+                self.places[tag].pop()
+        del self.stack[k:]
+        while self.blocks and self.blocks[-1] >= k:
+            self.blocks.pop()
+        self.low = min(self.low, k)
+
+    def forget(self, k: int) -> None:
+        """Close an inline element around open blocks: it stays in its place without a name."""
+        tag, *rest = self.stack[k]
+        self.places[tag].pop()
+        self.stack[k] = ("", *rest)
+
+
+#: What an opening tag ends if it is open, and what hides such an element from it.
+_SAME = {"li": ("li",), "option": ("option",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",)}
+_STOP = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table", "tbody", "thead", "tfoot")}
+
+
 def parse_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
-    #: (tag, number, content tag above, boilerplate tag above, boilerplate name above, content name above, silent)
-    root = ("", 0, False, False, False, False, False)
-    stack, number = [root], 0
+    open_, number = _Open(), 0
     pieces: list[str] = []
-    links = depth_a = 0
+    links = depth_a = depth = 0
 
     def close() -> None:
-        nonlocal links
+        nonlocal links, depth
         if pieces:
-            text = _SPACE.sub(" ", html_lib.unescape("".join(pieces))).strip()
+            text = _SPACE.sub(" ", "".join(pieces)).strip()
             if text:
-                above = [e for e in reversed(stack) if e[0] in BLOCK_TAGS][:2] or [stack[-1]]
-                tag, _, in_c, in_b, nb, nc, _ = above[0]
-                blocks.append(Block(text, above[1][1] if len(above) > 1 else 0, tag, in_c, in_b, nb, nc, links))
+                at = open_.blocks[-1] if open_.blocks else len(open_.stack) - 1
+                tag, _, in_c, in_b, nb, nc, _ = open_.stack[at]
+                parent = open_.stack[open_.blocks[-2]][1] if len(open_.blocks) > 1 else 0
+                low = min(open_.low, at + 1)
+                blocks.append(Block(text, parent, tag, in_c, in_b, nb, nc, links, max(0, depth - low) + at + 1 - low))
+                depth = open_.low = at + 1
             pieces.clear()
         links = 0
 
     def add(text: str) -> None:
         nonlocal links
-        if text and not stack[-1][6]:
+        if text and not open_.stack[-1][6]:
             pieces.append(text)
             if depth_a:
                 links += len(text)
@@ -125,72 +171,65 @@ def parse_blocks(page: str) -> list[Block]:
     while at < size:
         m = _TAG.search(page, at)
         if m is None:
-            add(page[at:])
+            add(html_lib.unescape(page[at:]))
             break
-        add(page[at : m.start()])
+        add(html_lib.unescape(page[at : m.start()]))
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
-                add(html_lib.escape(m[0][9:].removesuffix("]]>")))
+                add(m[0][9:].removesuffix("]]>"))
             continue
         tag = m[2].lower()
         if m[1]:  # an end tag
             if tag == "a":
                 depth_a = 0
-            if tag == "p" and all(e[0] != "p" for e in stack):
+            k = open_.last(tag)
+            if tag == "p" and not k:
                 close()
-                continue
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if k:
-                if any(e[0] in BLOCK_TAGS for e in stack[k:]):
+                inside = bool(open_.blocks) and open_.blocks[-1] >= k
+                if tag in BLOCK_TAGS:
                     close()
                 # An inline element's end does not end the blocks inside it.
-                if tag in BLOCK_TAGS or not any(e[0] in BLOCK_TAGS for e in stack[k:]):
-                    del stack[k:]
+                if tag in BLOCK_TAGS or not inside:
+                    open_.cut(k)
                 else:
-                    del stack[k]
+                    open_.forget(k)
             continue
         if tag in BLOCK_TAGS:
             close()
-        if tag in ENDS_P and (k := next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)):
-            del stack[k:]
-        if tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
-            same = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",)}.get(tag, (tag,))
-            stop = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table", "tbody", "thead", "tfoot")}.get(tag, ())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in stop:
-                    break
-                if stack[i][0] in same:
-                    del stack[i:]
-                    break
+        if tag in ENDS_P and (k := open_.last("p")):
+            open_.cut(k)
+        if tag in _SAME and (k := open_.last(*_SAME[tag])) > open_.last(*_STOP.get(tag, ())):
+            open_.cut(k)
         if tag in VOID_TAGS:
             continue
         attributes = m[3] or ""
         if tag in RAW_TAGS:
-            end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, at)
+            end = _RAW_END[tag].search(page, at)
             at = end.end() if end else size
             continue
         if attributes.endswith("/") and tag in ("svg", "path", "g"):
             continue
         number += 1
-        top = stack[-1]
+        top = open_.stack[-1]
         named_boiler, named_content = element_marks(tag, attributes)
         if tag in CONTENT_TAGS:
-            stack.append((tag, number, True, False, named_boiler and top[4], True, top[6]))
+            open_.push((tag, number, True, False, named_boiler and top[4], True, top[6]))
         else:
             header = tag == "header" and not top[2]
-            stack.append((tag, number, top[2], top[3] or tag in BOILER_TAGS or header, top[4] or named_boiler, top[5] or named_content, top[6] or tag in SILENT_TAGS))
+            open_.push((tag, number, top[2], top[3] or tag in BOILER_TAGS or header, top[4] or named_boiler, top[5] or named_content, top[6] or tag in SILENT_TAGS))
         if tag == "a":
             depth_a = 1
     close()
     return blocks
 
 
-N_FEATURES = 9
+N_FEATURES, N_TEXT = 13, 9
 
 
 def features(blocks: list[Block]) -> np.ndarray:
-    """Of each block: size, links, sentences, its kind of tag, and the same of its neighbours."""
+    """Of each block: size, links, sentences, its kind of tag, its neighbours' size; then what the tags and names around it say."""
     rows = np.zeros((len(blocks), N_FEATURES))
     for i, b in enumerate(blocks):
         words = b.text.count(" ") + 1
@@ -207,6 +246,8 @@ def features(blocks: list[Block]) -> np.ndarray:
         near[:-1] += rows[1:, 0] / 2
         rows[:, 7] = near
     rows[:, 8] = 1
+    for i, b in enumerate(blocks):
+        rows[i, N_TEXT:] = b.in_content, b.in_boiler, b.named_content, b.named_boiler
     return rows
 
 
@@ -216,7 +257,7 @@ class Classifier:
 
 
 #: Where there are no pages with semantic tags to learn from.
-DEFAULT = Classifier((0.9, -3.0, 2.0, 0.8, 0.6, -0.8, -1.0, 0.2, -2.0))
+DEFAULT = Classifier((0.9, -3.0, 2.0, 0.8, 0.6, -0.8, -1.0, 0.2, -2.0, 5.0, -8.0, 2.0, -8.0))
 
 
 def _gradient(x: np.ndarray, y: np.ndarray, n: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -237,8 +278,10 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, steps: int = 300, dr
                 blocks = parse_blocks(page)
                 rows = features(blocks)
                 known = [i for i, b in enumerate(blocks) if b.in_content or b.in_boiler or b.named_boiler]
-                x.append(rows[known])
-                y += [float(blocks[i].in_content and not blocks[i].named_boiler and not blocks[i].in_boiler) for i in known]
+                alone = rows[known].copy()
+                alone[:, N_TEXT:] = 0
+                x += [rows[known], alone]
+                y += 2 * [float(blocks[i].in_content and not blocks[i].named_boiler and not blocks[i].in_boiler) for i in known]
             flat = np.concatenate(x)
             yield pa.RecordBatch.from_arrays([pa.array(flat.tolist(), pa.list_(pa.float64())), pa.array(y, pa.float64())], names=["x", "y"])
 
@@ -276,9 +319,8 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, steps: int = 300, dr
     return Classifier(tuple(round(float(v), 4) for v in w))
 
 
-#: Weights, in the classifier's unit, of what the page itself says.
-TAG_CONTENT, TAG_BOILER, NAME_CONTENT, NAME_BOILER, PLAIN_WEIGHT, CAP = 6.0, 8.0, 2.0, 8.0, 1.0, 14.0
-NEIGHBOUR, SIBLING = 0.6, 0.8
+#: Bounds of a block's cost. What edges cost: NEIGHBOUR is divided by the steps between blocks that follow each other, SIBLING joins blocks under one parent.
+CAP, NEIGHBOUR, SIBLING = 14.0, 1.8, 0.8
 
 
 def max_flow_labels(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -346,22 +388,21 @@ def max_flow_labels(source: list[float], sink: list[float], edges: list[tuple[in
                 u = to[path.pop() ^ 1]
 
 
-def main_text(page: str, classifier: Classifier) -> str:
-    blocks = parse_blocks(page)
-    if not blocks:
-        return ""
-    score = PLAIN_WEIGHT * np.clip(features(blocks) @ np.array(classifier.weights), -4, 4)
-    for i, b in enumerate(blocks):
-        score[i] += TAG_CONTENT * b.in_content - TAG_BOILER * b.in_boiler + NAME_CONTENT * b.named_content - NAME_BOILER * b.named_boiler
-    score = np.clip(score, -CAP, CAP).tolist()
-    edges = [(i, i + 1, NEIGHBOUR) for i in range(len(blocks) - 1)]
+def content_blocks(blocks: list[Block], classifier: Classifier) -> list[bool]:
+    """Which blocks are content, by the minimum cut."""
+    score = np.clip(features(blocks) @ np.array(classifier.weights), -CAP, CAP).tolist()
+    edges = [(i - 1, i, NEIGHBOUR / (1 + blocks[i].apart)) for i in range(1, len(blocks))]
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if (j := last.get(b.parent)) is not None:
             edges.append((j, i, SIBLING))
         last[b.parent] = i
-    content = max_flow_labels([max(0.0, x) for x in score], [max(0.0, -x) for x in score], edges)
-    return " ".join(b.text for b, c in zip(blocks, content, strict=True) if c)
+    return max_flow_labels([max(0.0, x) for x in score], [max(0.0, -x) for x in score], edges)
+
+
+def main_text(page: str, classifier: Classifier) -> str:
+    blocks = parse_blocks(page)
+    return " ".join(b.text for b, c in zip(blocks, content_blocks(blocks, classifier), strict=True) if c) if blocks else ""
 
 
 def extract(pages: DataFrame, classifier: Classifier) -> DataFrame:

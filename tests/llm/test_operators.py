@@ -379,6 +379,47 @@ def test_page_text():
         page_text.main_text(odd, page_text.DEFAULT)
 
 
+#: Weights that fit() found on pages of the synthetic table.
+FITTED = page_text.Classifier((-0.1252, -1.5143, -0.4494, 3.6541, 1.9319, -1.3456, -1.2265, 1.1222, -2.448, 0.9358, -0.9527, 0.8404, -1.2653))
+LONG = "A sentence of many words, as articles have them, goes on for a while and then it ends."
+
+
+def test_the_cut_decides():
+    """A short line between paragraphs is content by its neighbours, though its own cost says otherwise; far from them in the tree it is not."""
+    near = f"<div><p>{LONG}</p><p>{LONG}</p><span>x | y</span><p>{LONG}</p></div>"
+    far = f"<div><p>{LONG}</p><p>{LONG}</p></div>" + "<div>" * 9 + "<span>x | y</span>" + "</div>" * 9 + f"<div><p>{LONG}</p></div>"
+    weights = list(FITTED.weights)
+    weights[0], weights[7], weights[8] = 0.6, 0.0, -1.2  # plain: long blocks are content, short ones are not
+    c = page_text.Classifier(tuple(weights))
+    for page, kept in ((near, True), (far, False)):
+        blocks = page_text.parse_blocks(page)
+        at = next(i for i, b in enumerate(blocks) if b.text == "x | y")
+        assert (page_text.features(blocks) @ np.array(c.weights))[at] < 0
+        assert page_text.content_blocks(blocks, c)[at] is kept and sum(page_text.content_blocks(blocks, c)) == len(blocks) - (not kept)
+
+
+def test_page_without_semantic_tags():
+    page = f"<div><a href=1>Home</a> | <a href=2>Shop</a></div><div><h1>The title</h1><p>{LONG}</p><p>{LONG} {LONG}</p></div><div><a href=3>About</a> | © 2020</div>"
+    assert page_text.main_text(page, FITTED) == f"The title {LONG} {LONG} {LONG}"
+
+
+def test_odd_markup():
+    texts = lambda page: [b.text for b in page_text.parse_blocks(page)]
+    assert texts("<p title='x>one</p><p class=\"a\">two</p>") == ["one", "two"]  # a quote without its partner
+    assert texts("<p>&am<b>p;</b> &amp; &<i>lt;</i></p>") == ["&amp; & &lt;"]  # references don't cross tags
+    assert texts("<b>a<div>b</b>c</div>d") == ["a", "bc", "d"] and texts("<ul><li>a<ul><li>b</ul><li>c</ul>") == ["a", "b", "c"]
+    assert [(b.text, b.apart) for b in page_text.parse_blocks("<div><p>a</p><p>b</p></div><div><div><p>c</p></div></div>")][1:] == [("b", 2), ("c", 5)]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 200_000 + "x", "<b>" * 100_000 + "<div>" * 100_000 + "</b>" * 100_000 + "x", "<p a='x " * 200_000, "<li>" * 200_000 + "x"])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    start = time.perf_counter()
+    page_text.parse_blocks(page)
+    assert time.perf_counter() - start < 15  # a quadratic parser takes many minutes
+
+
 def test_pages_on_spark(spark):
     rows = [(i, f"u{i}", PAGE.replace("First", f"First {i}").replace('<div class="content">', "<article>")) for i in range(30)] + [(99, None, None)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
