@@ -17,7 +17,7 @@ rejected by score.
 
 Null and empty texts have no words and fail the base rules. Repeated rows and ties are judged row by row; a doc_id
 with contrary labels counts as quality 0. An empty corpus gives an empty result. All other columns of the
-input are returned as they are; columns with the names of results are replaced.
+input are returned as they are; columns with the names of results are replaced. Three-word windows are compared by 64-bit hashes.
 
 Scale: two passes over the texts besides the labelled one; the shuffles hold bucket counts and score bins only, whose numbers are
 bounded by parameters. Labels are broadcast up to max_broadcast_labels rows and joined by a shuffle beyond.
@@ -36,7 +36,7 @@ from quillflow.llm.shared import SPACE, only, short_plans
 
 MIN_WORDS, MAX_REPEAT_PERCENT, SYMBOLS = 50, 50, r"[#*$%&|<>]"
 BUCKET_BITS, ALPHA, BINS_PER_UNIT = 16, 5.0, 1000
-MAX_BROADCAST_LABELS = 2_000_000
+MAX_BROADCAST_LABELS = 200_000
 #: Up to so many distinct repeated windows are looked up in a list; more are found by sorting.
 SHORT_LIST = 64
 

@@ -82,6 +82,7 @@ def test_quality_model_tells_junk(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(150)], "doc_id bigint, quality int, toxic int")
     model = quality_rules.fit(df, labels)
+    assert quality_rules.fit(df, labels, max_broadcast_labels=3) == model  # joined by a shuffle
     got = by_id(quality_rules.judge(df, model))
     held = [i for i in range(150, 300) if not got[i].base_failed]
     assert held and all(got[i].kept == (i % 3 > 0) for i in held)
