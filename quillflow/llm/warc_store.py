@@ -17,8 +17,8 @@ id are kept and never refer to others. Repeated ids (ties) each get a record; al
 tables give empty archives. Extra columns are ignored.
 
 Scale: copies meet by partial aggregation, so a payload that a third of all rows share crosses the network once a
-task; payload bytes are shuffled when the store is made and when records are put together, once for each different payload (shared.SALTS times at most for one
-that very many records have), and what their records need is dealt to parts (shared.join_hot).
+task; payload bytes are shuffled when the store is made and when responses are put together, once for each different payload (shared.SALTS times at most for a small one
+that very many records have). Both tables say in which parts (shared.salt of the page's id) a payload's records are, so joins are dealt to parts.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillflow.llm.shared import join_hot, only
+from quillflow.llm.shared import each_salt, only, salt, salts
 
 MIN_REVISIT_BYTES = 1000
 CRLF = "\r\n"
@@ -73,20 +73,26 @@ def header_value(header: Column, name: str) -> Column:
     return F.when(header.rlike(rf"(?m)^{name}: "), F.regexp_extract(header, rf"(?m)^{name}: ([^\r\n]*)", 1))
 
 
+def _bit(page_id: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), salt(page_id))
+
+
 def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> None:
     rows = only(pages, "page_id", "url", "html").withColumn("payload", F.coalesce("html", F.lit("")).cast("binary"))
     keyed = rows.withColumn("payload_key", F.sha2("payload", 256))
     (
         keyed.groupBy("payload_key")
-        .agg(F.max("page_id").alias("holder"), F.first("payload").alias("payload"))
+        .agg(F.max("page_id").alias("holder"), F.first("payload").alias("payload"), salts("page_id").alias("parts"))
         .withColumn("n_bytes", F.octet_length("payload").cast("long"))
         .withColumn("sha1", F.sha1("payload"))
+        .withColumn("body_parts", F.when(F.col("n_bytes") < min_revisit_bytes, F.col("parts")).otherwise(F.col("parts").bitwiseAND(_bit(F.col("holder")).bitwiseOR(_bit(F.lit(None).cast("bigint"))))))
         .write.option("compression", "zstd")
         .parquet(f"{path}/payloads")
     )
-    held = pages.sparkSession.read.parquet(f"{path}/payloads").select("payload_key", "holder", "n_bytes", "sha1")
+    held = pages.sparkSession.read.parquet(f"{path}/payloads").select("payload_key", "holder", "n_bytes", "sha1", each_salt(F.col("parts")).alias("part"))
     records = (
-        join_hot(keyed.select("page_id", "url", "payload_key"), held, "payload_key", "page_id")
+        keyed.select("page_id", "url", "payload_key", salt("page_id").alias("part"))
+        .join(held, ["payload_key", "part"])
         .withColumn("kind", F.when((F.col("n_bytes") >= min_revisit_bytes) & (F.col("page_id") != F.col("holder")), "revisit").otherwise("response"))
         .withColumn("refers_to", F.when(F.col("kind") == "revisit", F.col("holder")))
     )
@@ -95,6 +101,8 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVI
         .cast("binary")
         .alias("header"),
         "payload_key",
+        "part",
+        (F.col("kind") != "revisit").alias("has_body"),
     ).write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
@@ -103,17 +111,24 @@ def _wrong(what: str, key: Column) -> Column:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record: its bytes (record), what they say, and the full payload. A payload that doesn't match its
+    """One row for each record: its bytes (record), what they say, and the payload (null for a revisit: it is that of the record it refers to). A payload that doesn't match its
     key, or a record that doesn't match its payload, stops the read."""
     key = F.col("payload_key")
-    stored = spark.read.parquet(f"{path}/payloads").select(
+    stored = spark.read.parquet(f"{path}/payloads")
+    stored = stored.select(
         F.when(F.sha2("payload", 256) == key, key).otherwise(_wrong("payload is damaged", key)).alias("payload_key"),
         F.octet_length("payload").cast("long").alias("real_bytes"),
         F.sha1("payload").alias("real_sha1"),
         "payload",
+        "parts",
+        "body_parts",
     )
-    headers = spark.read.parquet(f"{path}/headers")
-    records = join_hot(headers, stored, "payload_key", "header").withColumn("record", record_bytes(F.col("header"), F.col("payload")))
+    headers, at = spark.read.parquet(f"{path}/headers"), ["payload_key", "part"]
+    facts = ["payload_key", "real_bytes", "real_sha1"]
+    bodies = stored.select(*facts, "payload", each_salt(F.col("body_parts")).alias("part"))
+    known = stored.select(*facts, F.lit(None).cast("binary").alias("payload"), each_salt(F.col("parts")).alias("part"))
+    both = headers.where("has_body").join(bodies, at).unionByName(headers.where("NOT has_body").join(known, at))
+    records = both.withColumn("record", record_bytes(F.col("header"), F.col("payload")))
     # The header block ends at the first blank line; the two line ends after the body are no part of it.
     end = F.instr(F.col("record").cast("string"), CRLF * 2)
     head = F.substring(F.col("record").cast("string"), F.lit(1), end + 1)

@@ -338,7 +338,8 @@ def test_archive(spark):
     for i, url, html in rows:
         raw, r = (html or "").encode(), got[i, url]
         assert (r.record_type, r.refers_to) == kinds.get((i, url), ("response", None))
-        assert (r.payload_bytes, r.payload_digest, bytes(r.payload)) == (len(raw), hashlib.sha1(raw).hexdigest(), raw)
+        assert (r.payload_bytes, r.payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
+        assert r.payload is None if r.record_type == "revisit" else bytes(r.payload) == raw
         head, body = bytes(r.record).split(b"\r\n\r\n", 1)
         assert head.startswith(b"WARC/1.1\r\nWARC-Type: " + r.record_type.encode()) and head.count(b"\r\nWARC-Type: ") == 1
         assert body == (b"" if r.record_type == "revisit" else raw) + b"\r\n\r\n"
