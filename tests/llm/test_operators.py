@@ -316,11 +316,79 @@ def test_model_learns_context(spark):
     assert (got[0] - got[1]) / got[2] > 0.2  # of log10(2) at most
 
 
-def test_class_model_is_a_distribution():
-    history = np.arange(64)
-    w = np.random.default_rng(1).normal(size=(1 << 8, 4)).astype(np.float32)
-    p = np.exp(maxent_lm.log_softmax(w[maxent_lm.feature_rows(history, 4, 8)].sum(axis=1)))
-    assert np.allclose(p.sum(axis=1), 1)
+def small_model() -> maxent_lm.Model:
+    """24 buckets in 6 classes of at most 5, with weights of a size that training gives."""
+    random_values = np.random.default_rng(1)
+    class_of = maxent_lm.cluster(random_values.poisson(3, (24, 24)).astype(float), 6, 5)
+    assert class_of[0] == 0 and (class_of[1:] > 0).all() and np.bincount(class_of).max() <= 5
+    model = maxent_lm.Model(class_of, 6, 5, random_values.poisson(20, 24))
+    model.weights[:] = random_values.normal(size=model.weights.shape)
+    return model
+
+
+def test_model_is_a_distribution_and_sees_words():
+    """The shares of all buckets after a history add up to one; they follow from the words, not only from their classes."""
+    model = small_model()
+    log_p = lambda words, last: model.log_p(np.array([*words, 99], np.uint64), np.array([3, 4, 5, last]), np.array([4]))[-1]
+    for words in ([11, 12, 13], [11, 12, 14], [7, 12, 13]):
+        assert sum(np.exp(log_p(words, b)) for b in range(24)) == pytest.approx(1, abs=1e-5)
+    assert len({round(log_p(w, 6), 6) for w in ([11, 12, 13], [11, 12, 14], [7, 12, 13])}) == 3
+
+
+def test_model_scores_match_a_plain_sum(monkeypatch):
+    """Against one token at a time, with the features written out; windows don't change a score, nor do other texts."""
+    model, mask = small_model(), (1 << 64) - 1
+
+    def mixed(x: int) -> int:
+        return int(maxent_lm.words.mix(np.array([x & mask], np.uint64))[0])
+
+    def one(words: list[int], marks: list[int], i: int) -> float:
+        w = [words[i - k] if i >= k else maxent_lm.END_HASH for k in (1, 2, 3)]
+        c = [int(model.class_of[marks[i - k]]) if i >= k else 0 for k in (1, 2)]
+        k1, k2 = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+        two = (w[0] * k1 + w[1]) & mask
+        contexts = [mixed(x + k) for k, x in enumerate([w[0], two, two * k2 + w[2], w[1], w[0] * k2 + w[2], (c[0] << 16) + c[1]])]
+        own = int(model.class_of[marks[i]])
+        place = [b for b in range(24) if model.class_of[b] == own].index(marks[i])
+        total = 0.0
+        for factor, plain, column in ((0, model.classes, own), (1, own, place)):
+            logits = model.plain[plain].astype(float)
+            for x, bits, start in zip(contexts, maxent_lm.FEATURE_BITS, model.starts):
+                x = (x ^ mixed(own + 77)) * 0x9E3779B97F4A7C15 & mask if factor else x
+                logits = logits + model.weights[factor, (x >> (64 - bits)) + start]
+            total += logits[column] - np.log(np.exp(logits - logits.max()).sum()) - logits.max()
+        return total
+
+    lens = [1, 7, 2, 30]
+    texts = [([rng.getrandbits(64) for _ in range(n - 1)] + [maxent_lm.END_HASH], [rng.randrange(1, 24) for _ in range(n - 1)] + [0]) for n in lens]
+    wanted = [one(w, m, i) for w, m in texts for i in range(len(w))]
+    flat = np.array([w for t in texts for w in t[0]], np.uint64), np.array([m for t in texts for m in t[1]])
+    for window in (10_000, 5, 1):
+        monkeypatch.setattr(maxent_lm, "WINDOW", window)
+        assert np.allclose(model.log_p(*flat, np.array(lens)), wanted, atol=1e-4)
+
+
+def test_updates_raise_the_likelihood():
+    """Each update, from plain shares on, makes its own training texts more likely."""
+    tokens, n = [rng.randrange(1, 24) for _ in range(4000)], 4000
+    tokens = [t if i % 2 else tokens[i - 1] for i, t in enumerate(tokens)]
+    model = small_model()
+    model.weights[:] = 0
+    marks, hashes = np.array(tokens), np.array(tokens, np.uint64) * np.uint64(977)
+    got = [model.log_p(hashes, marks, np.array([n])).sum()]
+    names = np.arange(24, dtype=np.uint64) * np.uint64(977)
+    lists = lambda x, t: pa.array([x.tolist()], pa.list_(t))
+    arrays = [lists(np.array([False]), pa.bool_()), lists(np.array([n]), pa.int32()), lists(np.arange(24), pa.int32()), lists(names.view(np.int64), pa.int64()), pa.array([marks.astype(np.uint32).tobytes()])]
+    block = pa.RecordBatch.from_arrays(arrays, names=["held", "lens", "buckets", "hashes", "tokens"])
+    for k in range(4):
+        for batch in maxent_lm._gradient(model, k == 0)(iter([block])):
+            row, sums = batch.column("row").to_numpy(), np.array(batch.column("g").to_pylist())
+            assert sums[:, : model.width].sum() == pytest.approx(sums[:, model.width :].sum(), rel=1e-4)
+            for factor in range(2):
+                own = row // model.starts[-1] == factor
+                model.move(factor, row[own] % model.starts[-1], sums[own, : model.width], sums[own, model.width :], maxent_lm.STEP if k else maxent_lm.FIRST_STEP)
+        got.append(model.log_p(hashes, marks, np.array([n])).sum())
+    assert got == sorted(got) and got[-1] - got[0] > 0.1 * n
 
 
 # --- archive ------------------------------------------------------------------------------------------------------------
