@@ -306,6 +306,8 @@ def test_base_scores(spark, docs, none):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, train), i
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
+    dealt = by_id(maxent_lm.score_documents(docs.repartition(12), updates=1))  # twelve blocks, so the words are in more than one part
+    assert all(dealt[i].n_known == r.n_known and dealt[i].base_score == pytest.approx(r.base_score, rel=1e-9) for i, r in got.items())
     assert maxent_lm.score_documents(none, updates=1).count() == 0
 
 
