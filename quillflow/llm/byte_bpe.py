@@ -4,10 +4,14 @@ One narrow pass, without a shuffle:
 
 1. texts are split by the tokenizer's pattern, block by block, into distinct words and a list of word numbers for each
    text; a partition's rows are each block's words that it had not before, then its texts;
-2. a Spark expression folds merges over each word's bytes: the adjacent pair of lowest rank is joined until no pair has a rank. The rank
-   map is a literal of the plan;
+2. a Spark expression folds merges over each word's bytes. The merge table is a literal of the plan;
 3. the lists are replaced by the words' ids.
 
+Merges go by rank: the adjacent pair of lowest rank is joined until no pair has a rank. Where each token's two parts come before it (merge_order), a join
+never makes a pair of lower rank, and a token is always joined from the same two parts. So a fold over the ranks of a word's tokens, in their order, each of
+which joins its pair wherever it stands, does the same. Which tokens of the vocabulary a word has is looked up when it is split. With other vocabularies, each
+step of the fold looks for the pair of lowest rank.
+
 A word that is a token itself needs no merges.
 
 Decoding is a Spark expression as well: the ids' byte pieces, from a literal array, are concatenated.
@@ -38,7 +42,7 @@ from quillflow.llm.shared import only, short_plans
 FOLD_BYTES, HASH_BITS = 512, 17
 #: Bytes of a block of texts. A partition's words are forgotten after so many of them.
 BLOCK_BYTES, PARTITION_WORDS = 2 << 20, 400_000
-_STAGE = "is_word boolean, doc_id bigint, word string, merged string, codes binary"
+_STAGE = "is_word boolean, doc_id bigint, word string, found array<int>, merged string, codes binary"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,7 +53,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 # --- the fold -----------------------------------------------------------------------------------------------------------
 #
 # In the fold a token is one character, and characters are in the order of ranks. A word is a string of such characters, at first
-# one for each byte. The literal maps a pair of characters to the character of the joined token: cell crc32(pair) modulo their number
+# one for each byte. For merges in order, literals give each rank its pair and the joined token. For others, the literal maps a pair of characters to the character of the joined token: cell crc32(pair) modulo their number
 # holds "pair:joined" for each of its pairs, behind LAST. What follows "pair:" is the joined token, and if a cell lacks the pair, all of the
 # cell is taken to follow, which begins with LAST.
 
@@ -82,8 +86,62 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
     return F.split(F.lit(",".join(pair_cells(ranks))), ",")
 
 
+def last_pair(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
+    """The two tokens that merges by rank come to before they join them to this one; None if they don't."""
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while len(parts) > 2:
+        found = [(r, i) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
+        if not found:
+            return None
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return (parts[0], parts[1]) if len(parts) == 2 and all(p in ranks for p in parts) else None
+
+
+def merge_order(ranks: dict[bytes, int]) -> dict[int, str] | None:
+    """The marks of the pair that is joined to each token, by its rank; None if a token doesn't come after its parts."""
+    pairs = {}
+    for token, rank in ranks.items():
+        if pair := last_pair(token, ranks):
+            left, right = ranks[pair[0]], ranks[pair[1]]
+            if max(left, right) >= rank:
+                return None
+            pairs[rank] = mark(left) + mark(right)
+    return pairs
+
+
+def beginnings(ranks: dict[bytes, int], pairs: dict[int, str]) -> dict[bytes, int]:
+    """The ranks of joined tokens, and -1 for what other tokens begin with."""
+    out = {}
+    for token, rank in ranks.items():
+        if rank in pairs:
+            out[token] = rank
+            for k in range(2, len(token)):
+                out.setdefault(token[:k], -1)
+    return out
+
+
+def tokens_in(word: bytes, begins: dict[bytes, int]) -> set[int]:
+    """The ranks of the joined tokens that a word has anywhere."""
+    out, get, n = set(), begins.get, len(word)
+    for i in range(n - 1):
+        j = i + 2
+        while j <= n and (rank := get(word[i:j])) is not None:
+            out.add(rank)
+            j += 1
+    out.discard(-1)
+    return out
+
+
+def fold_in_order(word: Column, found: Column, pairs: dict[int, str]) -> Column:
+    """The marks of a word's tokens, from the marks of its bytes and the ranks of the tokens in it."""
+    n = max(pairs, default=-1) + 1
+    table, joined = (F.split(F.lit(",".join(x)), ",") for x in ([pairs.get(r, "") for r in range(n)], [mark(r) for r in range(n)]))
+    return F.aggregate(F.sort_array(found), word, lambda s, r: F.replace(s, F.get(table, r), F.get(joined, r)))
+
+
 def fold_merges(word: Column, table: Column) -> Column:
-    """The marks of a word's tokens, from the marks of its bytes."""
+    """The same for any vocabulary, from the marks of the bytes alone."""
 
     def joined(pair: Column) -> Column:
         cell = F.get(table, F.crc32(pair.cast("binary")).bitwiseAND((1 << HASH_BITS) - 1).cast("int"))
@@ -134,20 +192,21 @@ def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 # --- splitting and putting together -------------------------------------------------------------------------------------
 
 
-def _split(ranks: dict[bytes, int], pattern: str, fold_bytes: int):
+def _split(ranks: dict[bytes, int], pattern: str, fold_bytes: int, pairs: dict[int, str] | None):
     byte_marks = {i: mark(ranks[bytes([i])]) for i in range(256)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         matches = regex.compile(pattern).findall
-        schema = pa.schema([("is_word", pa.bool_()), ("doc_id", pa.int64()), ("word", pa.string()), ("merged", pa.string()), ("codes", pa.binary())])
+        schema = pa.schema([("is_word", pa.bool_()), ("doc_id", pa.int64()), ("word", pa.string()), ("found", pa.list_(pa.int32())), ("merged", pa.string()), ("codes", pa.binary())])
+        begins = beginnings(ranks, pairs or {})
         number: dict[str, int] = {}
         for block in chunks.blocks(batches, "text", BLOCK_BYTES):
             pieces = chunks.cut(block.column("text").combine_chunks())
             if len(number) > PARTITION_WORDS:
                 number = {}
-                yield pa.RecordBatch.from_pydict({"is_word": [True], "doc_id": [None], "word": [None], "merged": [""], "codes": [None]}, schema)
+                yield pa.RecordBatch.from_pydict({"is_word": [True], "doc_id": [None], "word": [None], "found": [None], "merged": [""], "codes": [None]}, schema)
             known = len(number)
             flat, lengths = [], []
             for texts, lead in ((pieces.inner, " "), (pieces.outer, "")):
@@ -164,7 +223,8 @@ def _split(ranks: dict[bytes, int], pattern: str, fold_bytes: int):
                 done = ["".join(map(mark, merge_by_heap(w, ranks))) if len(w) > fold_bytes else None for w in part]
                 done = [mark(ranks[w]) if w in ranks else x for w, x in zip(part, done, strict=True)]
                 todo = [w.decode("latin-1").translate(byte_marks) if x is None else None for w, x in zip(part, done, strict=True)]
-                rows = {"is_word": [True] * len(part), "doc_id": [None] * len(part), "word": todo, "merged": done, "codes": [None] * len(part)}
+                found = [list(tokens_in(w, begins)) if x is None else None for w, x in zip(part, done, strict=True)]
+                rows = {"is_word": [True] * len(part), "doc_id": [None] * len(part), "word": todo, "found": found, "merged": done, "codes": [None] * len(part)}
                 yield pa.RecordBatch.from_pydict(rows, schema)
             del pieces, words, flat
             pa.default_memory_pool().release_unused()
@@ -174,7 +234,7 @@ def _split(ranks: dict[bytes, int], pattern: str, fold_bytes: int):
                 own = [raw[4 * (e - c) : 4 * e] for c, e in zip(counts[k : k + 500].tolist(), ends[k : k + 500].tolist(), strict=True)]
                 m = len(own)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([False] * m), _one(ids.slice(k, m)), pa.nulls(m, pa.string()), pa.nulls(m, pa.string()), pa.array(own, pa.binary())],
+                    [pa.array([False] * m), _one(ids.slice(k, m)), pa.nulls(m, pa.string()), pa.nulls(m, pa.list_(pa.int32())), pa.nulls(m, pa.string()), pa.array(own, pa.binary())],
                     schema=schema,
                 )
 
@@ -222,8 +282,10 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, fold_bytes: int = FOLD_BYTES) -> DataFrame:
     """(doc_id, ids) of each row of docs (doc_id, text)."""
     short_plans(docs.sparkSession)
-    staged = only(docs, "doc_id", "text").mapInArrow(_split(ranks, pattern, fold_bytes), _STAGE)
-    folded = F.when(F.col("word").isNotNull(), fold_merges(F.col("word"), rank_literal(ranks))).otherwise(F.col("merged"))
+    pairs = merge_order(ranks)
+    staged = only(docs, "doc_id", "text").mapInArrow(_split(ranks, pattern, fold_bytes, pairs), _STAGE)
+    fold = fold_merges(F.col("word"), rank_literal(ranks)) if pairs is None else fold_in_order(F.col("word"), F.col("found"), pairs)
+    folded = F.when(F.col("word").isNotNull(), fold).otherwise(F.col("merged"))
     return staged.select("is_word", "doc_id", folded.alias("merged"), "codes").mapInArrow(_assemble, "doc_id bigint, ids array<int>")
 
 

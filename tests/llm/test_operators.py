@@ -258,6 +258,23 @@ def test_byte_bpe(spark, docs, none):
     assert byte_bpe.encode(none, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_merges_in_order_and_by_lowest_pair(spark):
+    import tiktoken
+
+    ranks = {bytes([i]): i for i in range(256)} | {b"bc": 400, b"abc": 300, b"ab": 350, b"aa": 310, b"xa": 320}
+    texts = ["abcxabcaaabbcxaabc aaaa xaaabc", "bcbcabaab", "aaaaa", ""]
+    assert byte_bpe.merge_order(ranks) is None  # abc comes before ab
+    in_order = {bytes([i]): i for i in range(256)} | {b"bc": 256, b"aa": 257, b"abc": 258, b"xa": 259, b"aaaa": 260, b"zzz": 261}
+    assert set(byte_bpe.merge_order(in_order)) == {256, 257, 258, 259, 260}  # nothing joins zzz
+    words = [*RANKS, *(a + b for a, b in zip(list(RANKS)[300:], list(RANKS)[700:3000]))]
+    assert set(byte_bpe.merge_order(RANKS)) == {r for t, r in RANKS.items() if len(t) > 1}
+    for table, own in ((ranks, texts), (in_order, [*texts, "zzzz zzz"]), (RANKS, [w.decode() for w in words[-2300:] if w.isascii()])):
+        exact = tiktoken.Encoding("other", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        df = spark.createDataFrame(list(enumerate(own)), "doc_id bigint, text string").coalesce(2)
+        got = {r["doc_id"]: list(r["ids"]) for r in byte_bpe.encode(df, table, public_tokenizers.PATTERN).collect()}
+        assert got == {i: exact.encode_ordinary(t) for i, t in enumerate(own)}
+
+
 @given(st.text(max_size=60))
 @settings(max_examples=100, deadline=None)
 def test_heap_merges(text):
