@@ -110,34 +110,47 @@ def merge_order(ranks: dict[bytes, int]) -> dict[int, str] | None:
     return pairs
 
 
-def beginnings(ranks: dict[bytes, int], pairs: dict[int, str]) -> dict[bytes, int]:
-    """The ranks of joined tokens, and -1 for what other tokens begin with."""
-    out = {}
-    for token, rank in ranks.items():
-        if rank in pairs:
-            out[token] = rank
-            for k in range(2, len(token)):
-                out.setdefault(token[:k], -1)
-    return out
-
-
-def tokens_in(word: bytes, begins: dict[bytes, int]) -> set[int]:
-    """The ranks of the joined tokens that a word has anywhere."""
-    out, get, n = set(), begins.get, len(word)
-    for i in range(n - 1):
-        j = i + 2
-        while j <= n and (rank := get(word[i:j])) is not None:
-            out.add(rank)
-            j += 1
-    out.discard(-1)
-    return out
+class Beginnings:
+    """What joined tokens begin with, as a tree: numbers 0 to 255 are the bytes, then come longer beginnings by length and bytes. So keys, the number of
+    what is shorter by a byte times 256 plus that byte, ascend."""
+
+    def __init__(self, ranks: dict[bytes, int], pairs: dict[int, str]):
+        known = {token[:k] for token, rank in ranks.items() if rank in pairs for k in range(2, len(token) + 1)}
+        order = sorted(known, key=lambda x: (len(x), x))
+        number = {bytes([i]): i for i in range(256)} | {x: 256 + k for k, x in enumerate(order)}
+        self.keys = np.array([number[x[:-1]] * 256 + x[-1] for x in order], np.int64)
+        self.ranks = np.array([r if (r := ranks.get(x, -1)) in pairs else -1 for x in order], np.int64)
+
+    def tokens_in(self, words: list[bytes]) -> pa.ListArray:
+        """The ranks of the joined tokens that each word has anywhere, in order."""
+        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        sizes = np.array([len(w) for w in words], np.int64)
+        own = np.repeat(np.arange(len(words)), sizes)
+        end = np.cumsum(sizes)[own]
+        at, node, found = np.arange(len(data)), data, [np.zeros(0, np.int64)]
+        while len(self.keys):
+            at = at + 1
+            inside = np.flatnonzero(at < end)
+            at, node, own, end = at[inside], node[inside], own[inside], end[inside]
+            if not len(at):
+                break
+            key = node * 256 + data[at]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[place] == key)
+            place, at, own, end = place[hit], at[hit], own[hit], end[hit]
+            rank, node = self.ranks[place], place + 256
+            is_token = rank >= 0
+            found.append(own[is_token] << 32 | rank[is_token])
+        each = np.unique(np.concatenate(found))
+        ends = np.cumsum(np.bincount(each >> 32, minlength=len(words)))
+        return pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), pa.array((each & 0xFFFFFFFF).astype(np.int32)))
 
 
 def fold_in_order(word: Column, found: Column, pairs: dict[int, str]) -> Column:
     """The marks of a word's tokens, from the marks of its bytes and the ranks of the tokens in it."""
     n = max(pairs, default=-1) + 1
     table, joined = (F.split(F.lit(",".join(x)), ",") for x in ([pairs.get(r, "") for r in range(n)], [mark(r) for r in range(n)]))
-    return F.aggregate(F.sort_array(found), word, lambda s, r: F.replace(s, F.get(table, r), F.get(joined, r)))
+    return F.aggregate(found, word, lambda s, r: F.replace(s, F.get(table, r), F.get(joined, r)))
 
 
 def fold_merges(word: Column, table: Column) -> Column:
@@ -192,7 +205,7 @@ def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 # --- splitting and putting together -------------------------------------------------------------------------------------
 
 
-def _split(ranks: dict[bytes, int], pattern: str, fold_bytes: int, pairs: dict[int, str] | None):
+def _split(ranks: dict[bytes, int], pattern: str, fold_bytes: int, begins: Beginnings):
     byte_marks = {i: mark(ranks[bytes([i])]) for i in range(256)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +213,6 @@ def _split(ranks: dict[bytes, int], pattern: str, fold_bytes: int, pairs: dict[i
 
         matches = regex.compile(pattern).findall
         schema = pa.schema([("is_word", pa.bool_()), ("doc_id", pa.int64()), ("word", pa.string()), ("found", pa.list_(pa.int32())), ("merged", pa.string()), ("codes", pa.binary())])
-        begins = beginnings(ranks, pairs or {})
         number: dict[str, int] = {}
         for block in chunks.blocks(batches, "text", BLOCK_BYTES):
             pieces = chunks.cut(block.column("text").combine_chunks())
@@ -223,7 +235,7 @@ def _split(ranks: dict[bytes, int], pattern: str, fold_bytes: int, pairs: dict[i
                 done = ["".join(map(mark, merge_by_heap(w, ranks))) if len(w) > fold_bytes else None for w in part]
                 done = [mark(ranks[w]) if w in ranks else x for w, x in zip(part, done, strict=True)]
                 todo = [w.decode("latin-1").translate(byte_marks) if x is None else None for w, x in zip(part, done, strict=True)]
-                found = [list(tokens_in(w, begins)) if x is None else None for w, x in zip(part, done, strict=True)]
+                found = begins.tokens_in([w if x is None else b"" for w, x in zip(part, done, strict=True)])
                 rows = {"is_word": [True] * len(part), "doc_id": [None] * len(part), "word": todo, "found": found, "merged": done, "codes": [None] * len(part)}
                 yield pa.RecordBatch.from_pydict(rows, schema)
             del pieces, words, flat
@@ -283,7 +295,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, fold_bytes: i
     """(doc_id, ids) of each row of docs (doc_id, text)."""
     short_plans(docs.sparkSession)
     pairs = merge_order(ranks)
-    staged = only(docs, "doc_id", "text").mapInArrow(_split(ranks, pattern, fold_bytes, pairs), _STAGE)
+    staged = only(docs, "doc_id", "text").mapInArrow(_split(ranks, pattern, fold_bytes, Beginnings(ranks, pairs or {})), _STAGE)
     fold = fold_merges(F.col("word"), rank_literal(ranks)) if pairs is None else fold_in_order(F.col("word"), F.col("found"), pairs)
     folded = F.when(F.col("word").isNotNull(), fold).otherwise(F.col("merged"))
     return staged.select("is_word", "doc_id", folded.alias("merged"), "codes").mapInArrow(_assemble, "doc_id bigint, ids array<int>")

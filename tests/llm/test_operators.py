@@ -266,6 +266,8 @@ def test_merges_in_order_and_by_lowest_pair(spark):
     assert byte_bpe.merge_order(ranks) is None  # abc comes before ab
     in_order = {bytes([i]): i for i in range(256)} | {b"bc": 256, b"aa": 257, b"abc": 258, b"xa": 259, b"aaaa": 260, b"zzz": 261}
     assert set(byte_bpe.merge_order(in_order)) == {256, 257, 258, 259, 260}  # nothing joins zzz
+    begins = byte_bpe.Beginnings(in_order, byte_bpe.merge_order(in_order))
+    assert begins.tokens_in([b"abcaaaa", b"", b"zzz", b"xab"]).to_pylist() == [[256, 257, 258, 260], [], [], [259]]
     words = [*RANKS, *(a + b for a, b in zip(list(RANKS)[300:], list(RANKS)[700:3000]))]
     assert set(byte_bpe.merge_order(RANKS)) == {r for t, r in RANKS.items() if len(t) > 1}
     for table, own in ((ranks, texts), (in_order, [*texts, "zzzz zzz"]), (RANKS, [w.decode() for w in words[-2300:] if w.isascii()])):
