@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillflow.llm import byte_bpe, chat_format, chunks, fm_index, line_templates, maxent_lm, page_text, quality_rules, super_minhash, token_files, warc_store
+from quillflow.llm import byte_bpe, chat_format, chunks, fm_index, line_templates, maxent_lm, page_text, quality_rules, shared, super_minhash, token_files, warc_store
 from quillflow.llm.shared import shared_path
 from tests.llm import brute
 
@@ -104,6 +104,15 @@ def line_order(key):
     return int(line_templates.parse_lines(pa.array([" ".join("0" if w is None else w for w in key)]), 3)[3][0])
 
 
+def test_a_row_is_judged_once(spark, docs):
+    """The filter holds the model's table once, and a heap that garbage has blown up shrinks."""
+    model = quality_rules.Model([0.5] * 256, 0.1)
+    plan = quality_rules.keep(docs, model)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("0.500000,0.500000") == 128  # the table has 256 numbers
+    shared.shrink_heap(spark, above=1)
+    assert spark.range(10).count() == 10
+
+
 def test_line_templates(spark, docs):
     wanted = brute.kept_lines(corpus(), line_order)
     got = by_id(line_templates.drop_recurring(docs))
