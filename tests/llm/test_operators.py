@@ -398,6 +398,33 @@ def test_model_scores_match_a_plain_sum(monkeypatch):
         assert np.allclose(model.log_p(*flat, np.array(lens)), wanted, atol=1e-4)
 
 
+def test_words_of_a_bucket_follow_the_history():
+    """Cells of all buckets add up to one after any history, and words of one bucket are told apart by the words before, which training on pairs teaches."""
+    class_of = maxent_lm.cluster(np.random.default_rng(1).poisson(3, (24, 24)).astype(float), 6, 5)
+    before, after = np.array([5, 6], np.uint64) * np.uint64(977), np.array([32 * 7 + 1, 32 * 9 + 2], np.uint64)
+    pick = np.array([rng.randrange(2) for _ in range(2000)])
+    hashes, marks = np.stack([before[pick], after[pick]], axis=1).ravel(), np.tile([3, 4], 2000)
+    cell_n = np.zeros((24, 32))
+    np.add.at(cell_n, (marks, maxent_lm.cells_of(hashes, 32)), 1)
+    model = maxent_lm.Model(class_of, 6, 5, cell_n.sum(axis=1), cell_n)
+    names, tokens = np.unique(hashes, return_inverse=True)
+    lists = lambda x, t: pa.array([x.tolist()], pa.list_(t))
+    bucket = np.where(np.isin(names, before), 3, 4)
+    arrays = [lists(np.array([False]), pa.bool_()), lists(np.array([4000]), pa.int32()), lists(bucket, pa.int32()), lists(names.view(np.int64), pa.int64()), pa.array([tokens.astype(np.uint32).tobytes()])]
+    block = pa.RecordBatch.from_arrays(arrays, names=["held", "lens", "buckets", "hashes", "tokens"])
+    for k in range(3):
+        for batch in maxent_lm._gradient(model, k == 0)(iter([block])):
+            row, sums = batch.column("row").to_numpy(), np.array(batch.column("g").to_pylist())
+            assert sums[:, : model.width].sum() == pytest.approx(sums[:, model.width :].sum(), rel=1e-4)
+            for factor in range(3):
+                own = row // model.starts[-1] == factor
+                model.move(factor, row[own] % model.starts[-1], sums[own, : model.width], sums[own, model.width :], maxent_lm.STEP if k else maxent_lm.FIRST_STEP)
+    log_p = lambda word, bucket, last: model.log_p(np.array([word, last], np.uint64), np.array([3, bucket]), np.array([2]))[-1]
+    assert log_p(before[0], 4, after[0]) > log_p(before[0], 4, after[1]) + 0.5
+    assert log_p(before[1], 4, after[1]) > log_p(before[1], 4, after[0]) + 0.5
+    assert sum(np.exp(log_p(before[0], b, 32 + c)) for b in range(24) for c in range(32)) == pytest.approx(1, abs=1e-4)
+
+
 def test_updates_raise_the_likelihood():
     """Each update, from plain shares on, makes its own training texts more likely."""
     tokens, n = [rng.randrange(1, 24) for _ in range(4000)], 4000
