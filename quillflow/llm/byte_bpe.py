@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quillflow.llm import chunks
 from quillflow.llm.quality_rules import let
-from quillflow.llm.shared import only, short_plans
+from quillflow.llm.shared import only, short_plans, shrink_heap
 
 FOLD_BYTES, HASH_BITS = 512, 17
 #: Bytes of a block of texts. A partition's words are forgotten after so many of them.
@@ -294,6 +294,7 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, fold_bytes: int = FOLD_BYTES) -> DataFrame:
     """(doc_id, ids) of each row of docs (doc_id, text)."""
     short_plans(docs.sparkSession)
+    shrink_heap(docs.sparkSession)
     pairs = merge_order(ranks)
     staged = only(docs, "doc_id", "text").mapInArrow(_split(ranks, pattern, fold_bytes, Beginnings(ranks, pairs or {})), _STAGE)
     fold = fold_merges(F.col("word"), rank_literal(ranks)) if pairs is None else fold_in_order(F.col("word"), F.col("found"), pairs)

@@ -113,6 +113,20 @@ def test_a_row_is_judged_once(spark, docs):
     assert spark.range(10).count() == 10
 
 
+def test_driver_memory_is_given_back(spark):
+    """Of a heap with little in it, no more stays than twice that and some; the JVM's settings stay."""
+    jvm = spark._jvm
+    runtime, bean = jvm.java.lang.Runtime.getRuntime(), jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean")
+    ratio = lambda: jvm.java.lang.management.ManagementFactory.getPlatformMXBean(bean).getVMOption("MaxHeapFreeRatio").getValue()
+    before = ratio()
+    for _ in range(20):
+        spark.sparkContext._gateway.new_array(jvm.long, 4 << 20)  # garbage of 32 MB
+    shared.shrink_heap(spark, above=1)
+    assert runtime.totalMemory() < 2 * (runtime.totalMemory() - runtime.freeMemory()) + (32 << 20)
+    assert ratio() == before
+    assert shared.trim_native(spark)
+
+
 def test_line_templates(spark, docs):
     wanted = brute.kept_lines(corpus(), line_order)
     got = by_id(line_templates.drop_recurring(docs))
