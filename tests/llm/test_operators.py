@@ -453,6 +453,22 @@ def test_sums_and_maxima_of_rows():
         assert np.array_equal(maxent_lm.row_max(x), x.max(axis=1, keepdims=True)) and np.allclose(maxent_lm.row_sum(x), x.sum(axis=1))
 
 
+def test_large_weights():
+    """Weights beyond what exp takes leave a distribution; usual ones give the same shares with the maximum taken off and without."""
+    model, n = small_model(), 300
+    hashes, marks = np.array([rng.getrandbits(64) for _ in range(n)], np.uint64), np.array([rng.randrange(1, 24) for _ in range(n)])
+    each = next(iter(model.factors(hashes, marks, np.array([n]), n)))
+    assert model.tame() == [True, True]
+    for f, (rows, plain, _) in enumerate(each):
+        assert np.allclose(model.shares(f, rows, plain, True), model.shares(f, rows, plain, False), rtol=1e-4, atol=1e-7)
+    model.weights[1] *= 60
+    assert model.tame() == [True, False]
+    with np.errstate(over="raise", invalid="raise"):
+        for last in (hashes[-1], 7):
+            log_p = lambda b: model.log_p(np.array([*hashes[:3], last], np.uint64), np.array([3, 4, 5, b]), np.array([4]))[-1]  # noqa: E731, B023
+            assert sum(np.exp(log_p(b)) for b in range(24)) == pytest.approx(1, abs=1e-4)
+
+
 def test_updates_cost_little_more_than_their_sums():
     """CPU seconds of an update, against those of its expected counts alone if each column is added up for itself (2.4 times as many, when updates did that)."""
     values, n = np.random.default_rng(3), 200_000
